@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filmloom.llm import linkage, names
+from filmloom.llm import linkage, names, truncation
 from filmloom.session import load
 
 
@@ -40,5 +40,17 @@ def p7_matches(spark: SparkSession, d: str) -> DataFrame:
     return _film_links(spark, d).select(F.col("left_id").alias("file_path"), F.col("right_id").alias("wiki_page_id"), "confidence")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_people, p7_found, p7_matches)}
+def _cut_texts(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.detect(load(spark, d, "documents", "doc_id", "text", "lang", "source"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cut_texts(spark, d).where("is_cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(_cut_texts(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_people, p7_found, p7_matches, p10_found, p10_rates)}
 ORACLES: dict[str, str] = {}
