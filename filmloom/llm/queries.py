@@ -5,10 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filmloom.llm import linkage, names, truncation
+from filmloom.llm import linkage, markup, names, truncation
 from filmloom.session import load
 
 
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of the fields that hold markup: rec_table, rec_key, field_name, item_pos, value."""
+    wiki = load(spark, d, "wiki", "wiki_page_id", "wiki_released_raw", "wiki_budget", "wiki_starring")
+    fields = F.array(
+        F.struct(F.lit("wiki_released_raw").alias("f"), F.array("wiki_released_raw").alias("v")),
+        F.struct(F.lit("wiki_budget").alias("f"), F.array("wiki_budget").alias("v")),
+        F.struct(F.lit("wiki_starring").alias("f"), F.col("wiki_starring").alias("v")),
+    )
+    short = wiki.select(F.lit("wiki").alias("rec_table"), F.col("wiki_page_id").alias("rec_key"), F.explode(fields).alias("x"))
+    short = short.select("rec_table", "rec_key", F.col("x.f").alias("field_name"), F.posexplode("x.v").alias("item_pos", "value")).where("value IS NOT NULL")
+    long = load(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL").select(
+        F.lit("documents").alias("rec_table"), F.col("doc_id").cast("string").alias("rec_key"), F.lit("text").alias("field_name"), F.lit(0).alias("item_pos"), F.col("text").alias("value")
+    )
+    return short.unionByName(long)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.convert(_marked(spark, d)).where("size(kinds) > 0").select("rec_table", "rec_key", "field_name").distinct()
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    found = markup.convert(_marked(spark, d)).select("rec_table", "rec_key", "field_name", "item_pos", "clean", F.array_join("kinds", ",").alias("kinds"))
+    return found.dropDuplicates(["rec_table", "rec_key", "field_name", "item_pos"])
+
+
 def _people(spark: SparkSession, d: str) -> DataFrame:
     rt = load(spark, d, "rt", "cast")
     wiki = load(spark, d, "wiki", "wiki_starring", "wiki_directors")
@@ -52,5 +77,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(_cut_texts(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_people, p7_found, p7_matches, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_clean, p6_found, p6_people, p7_found, p7_matches, p10_found, p10_rates)}
 ORACLES: dict[str, str] = {}
