@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filmloom.llm import linkage, markup, names, truncation
+from filmloom.llm import linkage, markup, mixing, names, packing, truncation
 from filmloom.session import load
 
 
@@ -53,16 +53,15 @@ def _film_links(spark: SparkSession, d: str) -> DataFrame:
     rt = load(spark, d, "rt", "file_path", "page_type", "title", "rt_year", "release_date", "director", "cast", "runtime").where("page_type = 'movie'")
     wiki = load(spark, d, "wiki", "wiki_page_id", "wiki_title", "wiki_title_norm", "wiki_year", "wiki_released_raw", "wiki_directors", "wiki_starring", "wiki_runtime_minutes")
     redirect = load(spark, d, "redirect", "redirect_title", "target_title", "target_title_norm")
-    titles = linkage.page_titles(wiki, redirect)
-    return linkage.best_matches(linkage.link(linkage.left_records(rt), linkage.right_records(wiki), titles))
+    return linkage.best_matches(linkage.link(rt, wiki, redirect))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _film_links(spark, d).select(F.col("left_id").alias("file_path"), F.col("right_id").alias("wiki_page_id"))
+    return _film_links(spark, d).select("file_path", "wiki_page_id")
 
 
 def p7_matches(spark: SparkSession, d: str) -> DataFrame:
-    return _film_links(spark, d).select(F.col("left_id").alias("file_path"), F.col("right_id").alias("wiki_page_id"), "confidence")
+    return _film_links(spark, d)
 
 
 def _cut_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -77,5 +76,37 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(_cut_texts(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clean, p6_found, p6_people, p7_found, p7_matches, p10_found, p10_rates)}
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(load(spark, d, "documents", "doc_id", "text"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).where("n_pieces > 1").select("doc_id").distinct()
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, d))
+
+
+def _shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(load(spark, d, "documents", "doc_id", "text", "source"), load(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _shares(spark, d).where("NOT within_reach").select("source")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _shares(spark, d)
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(load(spark, d, "documents", "doc_id", "text", "source"), load(spark, d, "mix_targets")).drop("text_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_clean, p6_found, p6_people, p7_found, p7_matches, p8_found, p8_containers, p8_fill, p9_found, p9_shares, p9_mix, p10_found, p10_rates)}
 ORACLES: dict[str, str] = {}
