@@ -29,9 +29,9 @@ def get_session(app: str = "filmloom", master: str = "local[*]", **conf: str) ->
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of a remote cluster (no-op on local[*])."""
+    """Make this package importable in the Python workers, wherever the session was started from."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     target = os.path.join(tempfile.mkdtemp(prefix="filmloom-"), "filmloom.zip")
