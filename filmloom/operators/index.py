@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filmloom.functions.text import search_tokens
+from filmloom.session import stage
 
 # The fields indexed with their weights, and the parameters of BM25.
 FIELDS = {"title": 3.0, "description": 0.2, "synopsis": 2.0, "genres": 1.3, "director": 1.2, "cast": 1.5, "rating": 1.1}
@@ -25,8 +26,9 @@ def tokens(documents: DataFrame, fields: dict[str, float] | None = None) -> Data
     kinds = dict(documents.dtypes)
     present = [f for f in fields if f in kinds]
     text = lambda f: F.array_join(F.col(f"`{f}`"), " ") if kinds[f].startswith("array") else F.col(f"`{f}`").cast("string")
-    per = F.array(*[F.struct(F.lit(f).alias("field"), search_tokens(text(f)).alias("terms")) for f in present])
-    out = documents.select("doc_id", F.explode(per).alias("x")).select("doc_id", "x.field", F.explode("x.terms").alias("term"))
+    per = F.array(*[F.struct(F.lit(f).alias("field"), text(f).alias("text")) for f in present])
+    rows = documents.select("doc_id", F.explode(per).alias("x")).select("doc_id", "x.field", "x.text").where("text IS NOT NULL")
+    out = rows.select("doc_id", "field", F.explode(search_tokens(F.col("text"))).alias("term"))
     return out.groupBy("doc_id", "field", "term").agg(F.count("*").alias("n"))
 
 
@@ -37,7 +39,7 @@ def build(documents: DataFrame, fields: dict[str, float] | None = None) -> tuple
     counts every token. Documents without tokens have length 0.
     """
     fields = fields or FIELDS
-    counted = tokens(documents, fields)
+    counted = stage(tokens(documents, fields))
     weight = F.create_map(*[x for f, w in fields.items() for x in (F.lit(f), F.lit(float(w)))])[F.col("field")]
     postings = counted.groupBy("term", "doc_id").agg(F.sum(F.when(weight == 1.0, F.col("n").cast("double")).otherwise(weight)).alias("wtf"))
     lengths = documents.select("doc_id").distinct().join(counted.groupBy("doc_id").agg(F.sum("n").alias("dl")), "doc_id", "left").withColumn("dl", F.coalesce("dl", F.lit(0)))

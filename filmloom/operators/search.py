@@ -119,6 +119,14 @@ def _matches(tokens: DataFrame, c: Clause) -> DataFrame:
     return t.where(hit).groupBy("doc_id", "field", key.alias("key")).agg(F.count("*").alias("tf"))
 
 
+def _word_matches(tokens: DataFrame, words: list[Clause]) -> DataFrame:
+    """(doc_id, field, key, tf, weight) of all single-word clauses in one pass; weights of clauses for one word add up."""
+    rows = [(c.words[0], f, (sum(BOOSTS.values()) if c.field else BOOSTS[f]) * c.boost) for c in words for f in BOOSTS if c.field in (None, f)]
+    table = tokens.sparkSession.createDataFrame(rows, "term string, field string, w double").groupBy("term", "field").agg(F.sum("w").alias("weight"))
+    hits = tokens.join(F.broadcast(table), ["term", "field"])  # as many rows as the query has words and fields
+    return hits.groupBy("doc_id", "field", F.col("term").alias("key")).agg(F.count("*").alias("tf"), F.first("weight").alias("weight"))
+
+
 def passes(page_type: str | None = None, years: tuple[int, int] | None = None, min_tomatometer: int | None = None, min_audience: int | None = None, min_confidence: int | None = None) -> Column:
     """The filters of a search, none of which scores; a document without the field fails."""
     keep = F.lit(True)
@@ -146,17 +154,18 @@ def search(documents: DataFrame, query: str, where: Column | None = None, k: int
     boost = F.create_map(*[x for f, w in BOOSTS.items() for x in (F.lit(f), F.lit(w))])
     scored: DataFrame | None = None
     required, banned = [], []
+    words = [c for c in clauses if c.kind == "term" and not c.banned]
+    groups = [_word_matches(tokens, words)] if words else []
     for c in clauses:
-        hits = _matches(tokens, c)
-        if c.banned:
-            banned.append(hits.select("doc_id").distinct())
-            continue
-        if c.required:
-            required.append(hits.select("doc_id").distinct())
-        df = hits.groupBy("field", "key").agg(F.count("*").alias("df"))
-        weight = F.lit(sum(BOOSTS.values())) if c.field else boost[F.col("field")]
-        part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * weight * c.boost
-        rows = hits.join(df, ["field", "key"]).join(stats, "field").join(lengths, ["doc_id", "field"]).select("doc_id", part.alias("part"))
+        if c.required or c.banned:
+            (banned if c.banned else required).append(_matches(tokens, c).select("doc_id").distinct())
+        if c.kind != "term" and not c.banned:
+            weight = F.lit(sum(BOOSTS.values())) if c.field else boost[F.col("field")]
+            groups.append(_matches(tokens, c).withColumn("weight", weight * c.boost))
+    for hits in groups:
+        df = hits.groupBy("field", "key").agg(F.count_distinct("doc_id").alias("df"))
+        part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("weight")
+        rows = hits.join(df, ["field", "key"]).join(F.broadcast(stats), "field").join(lengths, ["doc_id", "field"]).select("doc_id", part.alias("part"))  # stats: a row per field
         scored = rows if scored is None else scored.unionByName(rows)
     if scored is None:
         scored = documents.select("doc_id", F.lit(0.0).alias("part")).limit(0)

@@ -14,7 +14,7 @@ from filmloom.operators import linking as L
 from filmloom.operators import reports as S
 from filmloom.operators import search as Q
 from filmloom.sources import readers, wiki_dump, writers
-from filmloom.session import load
+from filmloom.session import load, stage
 from filmloom.streaming import ledger
 
 SITE, HOST = "reelbarn_example", "reelbarn.example"
@@ -355,7 +355,8 @@ def sql_search(method: str, bm25: bool = False, k: int = 10, where: str = "TRUE"
 
 
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return I.build(I.documents_of(load(spark, d, "rt")))
+    """The index of all pages, staged as the two tables it is kept in."""
+    return tuple(stage(t) for t in I.build(stage(I.documents_of(load(spark, d, "rt", "file_path", "tomatometer", "audience_score", *I.FIELDS)))))
 
 
 def _register_searches() -> None:
@@ -374,8 +375,8 @@ _register_searches()
 
 @query(f"WITH {SQL_INDEX} {sql_search('standard', True, where='post.doc_id IN (SELECT doc_id FROM docs WHERE page_type = ' + chr(39) + 'tv' + chr(39) + ')')}")
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
-    docs = I.documents_of(load(spark, d, "rt"))
-    return I.search(*I.build(docs), QUERY, bm25=True, only=docs.where("page_type = 'tv'"))
+    series = load(spark, d, "rt", "file_path", "page_type").where("page_type = 'tv'").select(F.col("file_path").alias("doc_id"))
+    return I.search(*_index(spark, d), QUERY, bm25=True, only=series)
 
 
 @query(
@@ -419,9 +420,9 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {SQL_INDEX} SELECT n AS documents, (SELECT sum(dl) FROM len) AS tokens, round(avgdl, 6) AS avg_length, (SELECT count(*) FROM fr) AS terms, (SELECT count(*) FROM post) AS postings FROM cs")
 def index_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Films get another title, then their own again: the index is as if built once."""
-    docs = I.documents_of(load(spark, d, "rt"))
+    docs = stage(I.documents_of(load(spark, d, "rt", "file_path", "tomatometer", "audience_score", "page_type", *I.FIELDS)))
     films = docs.where("page_type = 'movie'")
-    changed = I.upsert(*I.build(docs), films.withColumn("title", F.lit("placeholder of a title")))
+    changed = I.upsert(*_index(spark, d), films.withColumn("title", F.lit("placeholder of a title")))
     return I.statistics(*I.upsert(*changed, films))
 
 
@@ -429,23 +430,27 @@ def index_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 def search_documents(spark: SparkSession, d: str, min_confidence: int | None = None) -> DataFrame:
     rt, wiki = load(spark, d, "rt"), load(spark, d, "wiki")
-    return Q.build_documents(L.all_links(rt, wiki), L.media_pages(rt), min_confidence)
+    return stage(Q.build_documents(L.all_links(rt, wiki), L.media_pages(rt), min_confidence))
+
+
+def _multi(docs: DataFrame, text: str, where: Column | None = None) -> DataFrame:
+    return Q.search(docs, text, where, tokens=stage(Q.field_tokens(docs)))
 
 
 @query()
 def search_multifield(spark: SparkSession, d: str) -> DataFrame:
-    return Q.search(search_documents(spark, d), QUERY).select("doc_id", "title", "score", "release_year", "tomatometer")
+    return _multi(search_documents(spark, d), QUERY).select("doc_id", "title", "score", "release_year", "tomatometer")
 
 
 @query()
 def search_filtered(spark: SparkSession, d: str) -> DataFrame:
     where = Q.passes(page_type="movie", years=(1950, 2020), min_tomatometer=40, min_confidence=2)
-    return Q.search(search_documents(spark, d, 2), 'lighthouse +drama -"old verrano" gener*', where).select("doc_id", "title", "score", "release_year", "tomatometer")
+    return _multi(search_documents(spark, d, 2), 'lighthouse +drama -"old verrano" gener*', where).select("doc_id", "title", "score", "release_year", "tomatometer")
 
 
 @query()
 def search_syntax(spark: SparkSession, d: str) -> DataFrame:
-    return Q.search(search_documents(spark, d), '"the lighthouse"^2 title:harbor lighthose~1').select("doc_id", "title", "score")
+    return _multi(search_documents(spark, d), '"the lighthouse"^2 title:harbor lighthose~1').select("doc_id", "title", "score")
 
 
 # ---- frontier
