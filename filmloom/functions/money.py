@@ -166,7 +166,7 @@ def amount_readings(text: str | None) -> list[Reading]:
     both = scales if len(pair) == 2 and scales[0] != 1.0 and scales[1] != 1.0 else [scale] * len(pair)
     out, seen = [], set()
     for a in values[0]:
-        for b in values[-1]:
+        for b in values[1] if len(pair) == 2 else [a]:
             low, high = sorted((a * both[0], b * both[-1]))
             if (low, high) not in seen:
                 seen.add((low, high))

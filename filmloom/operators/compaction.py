@@ -165,14 +165,14 @@ def one_record_per_file(records: DataFrame, path_col: str = "file_path") -> Data
 
     Rows without a path are dropped. Hot paths are pre-aggregated map-side by max_by.
     """
-    names = [c for c in records.columns]
+    names = records.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names])
     filled = sum((F.col(f"`{c}`").isNotNull().cast("int") for c in names), F.lit(0))
     return (
-        records.withColumn("__path", canonical_path(F.col(f"`{path_col}`")))
+        records.select(row.alias("r"), filled.alias("filled"), canonical_path(F.col(f"`{path_col}`")).alias("__path"))
         .where("__path IS NOT NULL")
         .groupBy("__path")
-        .agg(F.max_by(row, F.struct(filled, F.xxhash64(row))).alias("__row"))
+        .agg(F.max_by("r", F.struct("filled", F.xxhash64("r"))).alias("__row"))
     )
 
 
@@ -216,12 +216,12 @@ def rewrite(plan: DataFrame, records: DataFrame, out_dir: str, path_col: str = "
     spark = plan.sparkSession
     snapshot = uuid.uuid4().hex[:12]
     staging, final = f"{out_dir}/_staging-{snapshot}", f"{out_dir}/snapshot-{snapshot}"
-    fields = [f for f in records.schema.fields]
+    fields = {f.name: f"record_{f.name}" if f.name in ("bin_id", "__path", "__bytes", "__has") else f.name for f in records.schema.fields}
     kept = one_record_per_file(records, path_col)
     joined = plan.select("bin_id", F.col("path").alias("__path"), "n_bytes").join(kept, "__path", "left")
-    flat = joined.select("bin_id", "__path", F.col("n_bytes").alias("__bytes"), F.col("__row").isNotNull().alias("__has"), *[F.col(f"__row.`{f.name}`").alias(f.name) for f in fields])
+    flat = joined.select("bin_id", "__path", F.col("n_bytes").alias("__bytes"), F.col("__row").isNotNull().alias("__has"), *[F.col(f"__row.`{name}`").alias(kept_as) for name, kept_as in fields.items()])
     flat = cut(flat.repartition("bin_id"))  # one task per bin, and what is verified is what is written
-    names = ["__path", *[f.name for f in fields]]
+    names = ["__path", *fields.values()]
     planned = flat.groupBy("bin_id").agg(
         F.count("*").alias("n_files"),
         F.coalesce(F.sum("__bytes"), F.lit(0)).alias("n_bytes"),

@@ -38,7 +38,7 @@ def read_frontier(spark: SparkSession, path: str) -> DataFrame:
     """The frontier of a CSV file, typed; of rows with one normalized_url the last stays."""
     rows = spark.read.schema(FRONTIER).option("header", True).csv(path)
     row = F.struct(*[F.col(c) for c in rows.columns])
-    return rows.groupBy("normalized_url").agg(F.max_by(row, F.monotonically_increasing_id()).alias("r")).select("r.*")
+    return rows.withColumn("__at", F.monotonically_increasing_id()).groupBy("normalized_url").agg(F.max_by(row, F.col("__at")).alias("r")).select("r.*")
 
 
 def folder_megabytes(spark: SparkSession, directory: str) -> DataFrame:
