@@ -430,7 +430,9 @@ def may_hold_markup(value: Column) -> Column:
 
 
 def convert(values: DataFrame) -> DataFrame:
-    """values (.., value) with `clean` and `kinds`. NULL stays NULL; repeated rows stay; very long texts are read whole."""
+    """values (.., value) with `clean` and `kinds` (in the place of columns of those names). NULL stays NULL; repeated rows
+    stay; very long texts are read whole."""
+    values = values.drop("clean", "kinds")
     hit = F.coalesce(may_hold_markup(F.col("value")), F.lit(False))
     marked = values.where(hit).withColumn("c", _convert("value")).select(*[f"`{c}`" for c in values.columns], "c.clean", "c.kinds")
     plain = values.where(~hit).withColumns({"clean": F.col("value"), "kinds": F.array().cast("array<string>")})

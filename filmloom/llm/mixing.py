@@ -100,7 +100,8 @@ def solve(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
 def distinct_texts(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(text_id, sources, members, n_tokens): every distinct text with the set of its sources and, per source, its least
     document id. Texts without tokens and rows without a source are left out."""
-    sized = measure(documents.where("text IS NOT NULL AND source IS NOT NULL").withColumn("text_id", fingerprint()), ["doc_id", "source", "text_id"], path)
+    known = documents.select("doc_id", "source", "text", fingerprint().alias("text_id")).where("text IS NOT NULL AND source IS NOT NULL")
+    sized = measure(known, ["doc_id", "source", "text_id"], path)
     per = sized.where("n_tokens > 0").groupBy("text_id", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.count("*").alias("copies"))
     return per.groupBy("text_id").agg(
         F.array_sort(F.collect_list(F.struct("source", "doc_id"))).alias("members"), F.max("n_tokens").alias("n_tokens"), F.sum(F.col("n_tokens") * F.col("copies")).alias("all_tokens")
@@ -156,7 +157,8 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, seed:
 
 
 def shares(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, seed: int = SEED) -> DataFrame:
-    """Per source: target_share, actual_share (of the mix wanted), mix_tokens, n_uses, and whether its share is within reach."""
+    """Per source: target_share, quota_tokens, mix_tokens, its share of the mix as large as all documents (share_of_wanted)
+    and of the mix as it came out (actual_share), n_uses, and whether its share is within reach."""
     texts = stage(distinct_texts(documents, path))
     flow, patterns, wanted, total = plan(texts, targets)
     got: dict[str, int] = {}
@@ -172,7 +174,8 @@ def shares(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, see
         "target_share",
         "quota_tokens",
         F.coalesce("mix_tokens", F.lit(0)).alias("mix_tokens"),
-        (F.coalesce("mix_tokens", F.lit(0)) / F.lit(float(max(total, 1)))).alias("actual_share"),
+        (F.coalesce("mix_tokens", F.lit(0)) / F.lit(float(max(total, 1)))).alias("share_of_wanted"),
+        (F.coalesce("mix_tokens", F.lit(0)) / F.lit(float(max(sum(got.values()), 1)))).alias("actual_share"),
         F.coalesce("n_uses", F.lit(0)).alias("n_uses"),
         (F.col("planned_tokens") >= F.col("quota_tokens")).alias("within_reach"),
     )
