@@ -18,11 +18,11 @@ def analyse(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
-def build_documents(joined: DataFrame, rt: DataFrame, min_confidence: int | None = None) -> DataFrame:
+def build_documents(joined: DataFrame, rt: DataFrame, min_confidence: int | None = None, max_documents: int | None = None) -> DataFrame:
     """Search documents: linked rows at or above min_confidence (unknown passes), then pages that are in none of those.
 
     Directors and cast fall back to the film's, the year to the film's. Rows without file_path are left out of the second
-    part; one document per (doc_id).
+    part; one document per doc_id. max_documents keeps linked ones first, then by id (an ordered limit).
     """
     kept = joined if min_confidence is None else joined.where(F.col("join_confidence").isNull() | (F.col("join_confidence") >= min_confidence))
     only = rt.where("file_path IS NOT NULL").join(kept.select("file_path").distinct(), "file_path", "left_anti")
@@ -38,7 +38,8 @@ def build_documents(joined: DataFrame, rt: DataFrame, min_confidence: int | None
     )
     both = linked.unionByName(alone).withColumn("genres_text", F.array_join("genres", " "))
     row = F.struct(F.coalesce("join_confidence", F.lit(0)).alias("c"), F.coalesce("wiki_title", F.lit("")).alias("w"), F.struct(*[c for c in both.columns if c != "doc_id"]).alias("r"))
-    return both.groupBy("doc_id").agg(F.max(row).alias("m")).select("doc_id", "m.r.*")
+    out = both.groupBy("doc_id").agg(F.max(row).alias("m")).select("doc_id", "m.r.*")
+    return out.orderBy(F.col("join_confidence").isNull(), "doc_id").limit(max_documents) if max_documents else out
 
 
 def field_tokens(documents: DataFrame, fields: tuple[str, ...] = tuple(BOOSTS)) -> DataFrame:

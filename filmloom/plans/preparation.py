@@ -77,4 +77,13 @@ def p5_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_compact, p2_found, p2_amounts, p4_found, p4_instants, p5_found, p5_values)}
-ORACLES: dict[str, str] = {}
+
+_SQL_PATH = (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_extract(regexp_replace(trim(replace({x}, chr(92), '/')), '^[A-Za-z][A-Za-z0-9+.-]*://', '/'), '^(?:.*?/)?(data/.*)$', 1), '/(?:[.]?/)+', '/', 'g'), '[^/]+/[.][.]/', ''), '[^/]+/[.][.]/', '')"
+)
+ORACLES: dict[str, str] = {
+    "p1_found": f"""
+WITH s AS (SELECT {_SQL_PATH.format(x='file_path')} AS path, max(modified_at) AS at, max_by(n_bytes, (modified_at, n_bytes)) AS n_bytes FROM stored_files WHERE file_path IS NOT NULL GROUP BY 1),
+ u AS (SELECT DISTINCT {_SQL_PATH.format(x='file_path')} AS path FROM urls WHERE file_path <> '')
+SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS store_dir FROM s JOIN u USING (path) WHERE path <> '' GROUP BY 1 HAVING count(*) >= 20 AND avg(n_bytes) < 32768""",
+}

@@ -49,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
+        if not spark.sparkContext.getCheckpointDir():  # set on the session only
+            spark.sparkContext.setCheckpointDir(found)
         return found
     found = spark.sparkContext.getCheckpointDir()
     if not found:
