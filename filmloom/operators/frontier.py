@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from filmloom.functions import url as U
 
+# The states of a page, and what only a blocking page says.
 STATUSES = ("discovered", "queued", "crawled", "failed")
+BLOCKING_MARKS = ("captcha", "access denied", "bot detected", "cloudflare")
 
 
 def latest(urls: DataFrame) -> DataFrame:
@@ -108,7 +110,7 @@ def outcome(response_code: Column, error: Column, content_type: Column, body: Co
     blocked, network."""
     wait = lambda seconds: F.pow(F.lit(2.0), F.coalesce(tries, F.lit(0))) * seconds
     page = F.lower(F.coalesce(body, F.lit("")))
-    blocked = page.rlike("captcha|access denied|are you a robot|unusual traffic")
+    blocked = page.rlike("|".join(BLOCKING_MARKS))
     kind = (
         F.when(response_code == 404, "not_found")
         .when(response_code == 429, "rate_limited")
