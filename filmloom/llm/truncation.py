@@ -69,7 +69,10 @@ def tail_of(text: str) -> tuple[str, str, str]:
     body = _MARK.sub("", text).rstrip()
     at = body.rfind("\n")
     line = body[at + 1 :]
-    return line_kind(line, False), line[-ORDERS:], body[-160:]
+    kind = line_kind(line, False)
+    if kind in ("1", "B", "L") and len(body) < len(text.rstrip()):
+        kind = "P"  # list items don't end in dots: a sentence follows the last one
+    return kind, line[-ORDERS:], body[-160:]
 
 
 def codes_of(chars: np.ndarray) -> list[np.ndarray]:
