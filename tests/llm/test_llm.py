@@ -84,6 +84,8 @@ def test_linkage(spark):
         wiki.append((i, t + (" (film)" if k == 0 else ""), t.lower(), y, None, [d], c, m))
     rt += [("none", None, None, None, None, None, None), ("lone", "Nowhere Else Film", 1990, None, "Q Q", [], None), rt[0], ("hot", "Untitled", 1999, None, "Zed Yang", ["Pam Rice"], "90m")]
     wiki += [(f"h{i}", "Untitled", "untitled", 1950 + i % 60, None, [f"No{i} Body{i}"], [f"Al{i} So{i}"], 70) for i in range(80)] + [("right", "Untitled", "untitled", 1999, None, ["Zed Yang"], ["Pam Rice"], 90), wiki[0]]
+    # a title and a year that very many pages share: a person tells
+    wiki += [(f"y{i}", "Untitled", "untitled", 1999, None, [f"No{i} Body{i}"], [f"Al{i} So{i}"], 70) for i in range(80)]
     redirect = spark.createDataFrame([("Another Name", "7", "x")], "redirect_title string, target_title string, target_title_norm string")
     left, right = spark.createDataFrame([(*r, "clash") for r in rt], RT + ", words string"), spark.createDataFrame(wiki, WIKI)
     got = {r.file_path: r for r in linkage.best_matches(linkage.link(left, right, redirect)).collect()}
