@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
+from itertools import product
 
 from filmloom.functions.residue import strip_inline
 
@@ -29,7 +31,7 @@ SCALES = {
     "mln": 1e6, "mln.": 1e6, "mn": 1e6, "mn.": 1e6, "mio": 1e6, "mio.": 1e6, "m": 1e6, "mm": 1e6,
     "crore": 1e7, "crores": 1e7, "cr": 1e7, "cr.": 1e7,
     "billion": 1e9, "billions": 1e9, "bil": 1e9, "bil.": 1e9, "bn": 1e9, "bn.": 1e9, "b": 1e9, "mrd": 1e9, "mrd.": 1e9, "milliard": 1e9, "milliards": 1e9, "milliarden": 1e9, "g": 1e9,
-    "trillion": 1e12, "trillions": 1e12, "tn": 1e12, "万": 1e4, "만": 1e4, "億": 1e8, "亿": 1e8, "억": 1e8, "兆": 1e12, "조": 1e12,
+    "trillion": 1e12, "trillions": 1e12, "tn": 1e12, "百": 1e2, "백": 1e2, "千": 1e3, "천": 1e3, "万": 1e4, "萬": 1e4, "만": 1e4, "億": 1e8, "亿": 1e8, "억": 1e8, "兆": 1e12, "조": 1e12,
 }
 NUMBERS = {
     "a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11,
@@ -53,13 +55,16 @@ _AMOUNT = re.compile(
     re.I,
 )
 _SCALE_ITEM = re.compile(rf"(?:{_SCALE_ALT})(?![A-Za-z])", re.I)
+_MYRIAD, _BELOW = "万萬만億亿억兆조", "百백千천"
+_GAP = re.compile(r"\s*(?:and\s)?\s*", re.I)
 _JOIN = re.compile(r"^\s*(?:-|–|—|~|to|and|bis|à|a|y|und|et|or|through)\s*$", re.I)
 _FOLD_SIGNS = {k.lower(): v for k, v in SIGNS.items()}
 
 
 @dataclass(frozen=True)
 class Reading:
-    """low and high in the currency's units; scale is what one unit of the written number stands for."""
+    """low and high in the currency's units; scale is what one unit of the written number stands for, of a number in
+    several scale groups that of the first."""
 
     low: float
     high: float
@@ -118,6 +123,68 @@ def _currency(text: str) -> str | None:
     return None
 
 
+def _numbers(m: re.Match) -> list[float]:
+    return _number_readings(m.group("num")) if m.group("num") else [_word_value(m.group("words"))]
+
+
+def _scales(m: re.Match) -> list[tuple[str, float]]:
+    keys = [s.lower().strip() for s in _SCALE_ITEM.findall(m.group("scale") or "")]
+    return [(k, SCALES.get(k, SCALES.get(k.rstrip("."), 1.0))) for k in keys]
+
+
+def _scale(m: re.Match) -> float:
+    scale = math.prod(v for _, v in _scales(m))
+    if m.group("power"):
+        digits = re.findall(r"[eE]\+?(\d{1,2})$|10\s*(?:\^|\*\*)?\s*\{?(\d{1,2})\}?$", m.group("power"))
+        scale *= 10.0 ** int(next(x for x in digits[0] if x))
+    return scale
+
+
+def _split(m: re.Match) -> tuple[float, float]:
+    """The scale of a group below the myriads and the rest of its scale: 千万 is 1000 times 10000."""
+    below = math.prod(v for k, v in _scales(m) if k in _BELOW)
+    return below, _scale(m) / below
+
+
+def _continues(t: str, group: list[re.Match], m: re.Match) -> bool:
+    """Whether m goes on with the number of the groups before it: 9000万円 after 5億, 50 lakh after 1 crore."""
+    last = group[-1]
+    gap = t[last.end() : m.start()]
+    if m.group("pre") or (last.group("post") or "").strip() or last.group("power") or m.group("power") or not _GAP.fullmatch(gap):
+        return False
+    (below0, big0), (below, big) = _split(last), _split(m)
+    if below0 * big0 == 1.0:
+        return False
+    if any(k in _MYRIAD + _BELOW for k, _ in _scales(last)):
+        if gap.strip() or not m.group("num"):
+            return False
+        if below * big == 1.0:
+            return not gap or bool(m.group("post"))
+        # 千 and 百 count within the myriad that follows them: 2千5百万
+        above = next((b for b in (_split(g)[1] for g in reversed(group)) if b != 1.0), math.inf)
+        return below < below0 if big0 == big == 1.0 else big < above
+    if "and" in gap.lower() and re.search(r"\bbetween\s[^\w]*$", t[: group[0].start()], re.I):
+        return False
+    if below * big == 1.0 and not (m.group("words") and m.group("post")):
+        return False
+    currencies = {c for c in (_currency(group[0].group("pre") or ""), _currency(m.group("post") or "")) if c}
+    return len(currencies) < 2 and big0 > big and all(n == int(n) for n in _numbers(last)[:1]) and max(_numbers(m)) * below * big < below0 * big0
+
+
+def _worth(group: list[re.Match]) -> list[float]:
+    """The values of a number in several scale groups. Only its last group may have decimals, where there is a choice."""
+    out = []
+    for numbers in product(*[[n for n in _numbers(m) if n == int(n)] or _numbers(m) for m in group[:-1]], _numbers(group[-1])):
+        total = section = 0.0
+        for n, m in zip(numbers, group, strict=True):
+            below, big = _split(m)
+            section += n * below
+            if big != 1.0:
+                total, section = total + section * big, 0.0
+        out.append(total + section)
+    return out
+
+
 def amount_readings(text: str | None) -> list[Reading]:
     """All readings of the first amount (or range) stated, the plainest first; [] where none is stated.
 
@@ -127,47 +194,44 @@ def amount_readings(text: str | None) -> list[Reading]:
         return []
     t = re.sub(r"\s+", " ", strip_inline(text)).strip().translate(_SUPERSCRIPT)
     t = re.sub(r"(?<=\d)\s*(?:[x×·*])\s*10\s+(?=\d)", "x10^", t)
-    found = []
+    found: list[list[re.Match]] = []
     for m in _AMOUNT.finditer(t):
+        if found and _continues(t, found[-1], m):
+            found[-1].append(m)
+            continue
         if m.group("words") and not (m.group("scale").strip() or m.group("post")):
             continue
         if m.group("num") and (m.start() and t[m.start() - 1].isalpha() and not m.group("pre")):
             continue
-        found.append(m)
+        found.append([m])
     if not found:
         return []
-    stated = [m for m in found if (m.group("pre") or "").strip() or (m.group("post") or "").strip() or (m.group("scale") or "").strip() or m.group("power")]
+    stated = [g for g in found if any((m.group(k) or "").strip() for m in g for k in ("pre", "post", "scale", "power"))]
     first = found.index(stated[0]) if stated else 0
     pair = [found[first]]
     # a range: the next amount after a joining word or dash, or the one before it
-    if first > 0 and _JOIN.match(t[found[first - 1].end() : found[first].start()]):
+    if first > 0 and _JOIN.match(t[found[first - 1][-1].end() : found[first][0].start()]):
         pair = [found[first - 1], found[first]]
-    elif first + 1 < len(found) and _JOIN.match(t[found[first].end() : found[first + 1].start()]):
+    elif first + 1 < len(found) and _JOIN.match(t[found[first][-1].end() : found[first + 1][0].start()]):
         pair = [found[first], found[first + 1]]
     if not stated and len(pair) == 1 and not re.fullmatch(r"[^\w]*(?:approx\.?|about|ca\.?|c\.|circa|est\.?|less than|more than|over|under|at least|up to|nearly|almost|around|~|<|>)?\s*[\d.,  '’]+\s*(?:\([^()]*\))?[^\w]*", t, re.I):
         return []
     values, scales, currencies = [], [], []
-    for m in pair:
-        values.append(_number_readings(m.group("num")) if m.group("num") else [_word_value(m.group("words"))])
-        scale = 1.0
-        for s in _SCALE_ITEM.findall(m.group("scale") or ""):
-            key = s.lower().strip()
-            scale *= SCALES.get(key, SCALES.get(key.rstrip("."), 1.0))
-        if m.group("power"):
-            digits = re.findall(r"[eE]\+?(\d{1,2})$|10\s*(?:\^|\*\*)?\s*\{?(\d{1,2})\}?$", m.group("power"))
-            scale *= 10.0 ** int(next(x for x in digits[0] if x))
-        scales.append(scale)
-        currencies.append(_currency(m.group("pre") or "") or _currency(m.group("post") or ""))
+    for g in pair:
+        values.append(_numbers(g[0]) if len(g) == 1 else _worth(g))
+        scales.append(_scale(g[0]))
+        currencies.append(_currency(g[0].group("pre") or "") or _currency(g[-1].group("post") or ""))
     currency = next((c for c in reversed(currencies) if c), None)
     # "C$5 to C$8 million": a unit named once at the end holds for both numbers
     scale = scales[-1]
     if len(pair) == 2 and scales[0] != 1.0 and scales[1] == 1.0:
         scale = scales[0]
     both = scales if len(pair) == 2 and scales[0] != 1.0 and scales[1] != 1.0 else [scale] * len(pair)
+    times = [1.0 if len(g) > 1 else x for g, x in zip(pair, both, strict=True)]
     out, seen = [], set()
     for a in values[0]:
         for b in values[1] if len(pair) == 2 else [a]:
-            low, high = sorted((a * both[0], b * both[-1]))
+            low, high = sorted((a * times[0], b * times[-1]))
             if (low, high) not in seen:
                 seen.add((low, high))
                 out.append(Reading(low, high, max(both), currency or "USD", currency is not None))

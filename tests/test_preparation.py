@@ -71,6 +71,18 @@ def test_amounts(text, low, high, currency, scale):
     assert (r.low, r.high, r.currency, r.scale) == (pytest.approx(low), pytest.approx(high), currency, scale)
 
 
+@pytest.mark.parametrize(
+    ("text", "low", "high", "currency", "scale"),
+    [("5億9000万円", 5.9e8, 5.9e8, "JPY", 1e8), ("3億10000万円", 4e8, 4e8, "JPY", 1e8), ("1억 5000만 원", 1.5e8, 1.5e8, "KRW", 1e8), ("5億2千5百万円", 5.25e8, 5.25e8, "JPY", 1e8), ("3億-5億9000万円", 3e8, 5.9e8, "JPY", 1e8),
+     ("1 crore 50 lakh rupees", 1.5e7, 1.5e7, "INR", 1e7), ("$2 billion 300 million", 2.3e9, 2.3e9, "USD", 1e9), ("2 crore and 50 lakh rupees", 2.5e7, 2.5e7, "INR", 1e7), ("between 2 crore and 50 lakh rupees", 5e6, 2e7, "INR", 1e7),
+     ("$5 million 3 million", 5e6, 5e6, "USD", 1e6), ("US$4 million (5億9000万円)", 4e6, 4e6, "USD", 1e6)],
+)
+def test_amounts_in_scale_groups(text, low, high, currency, scale):
+    """Adjacent groups of falling scale are one number; its currency stands behind the last."""
+    r = money.amount_readings(text)
+    assert len(r) == 1 and (r[0].low, r[0].high, r[0].currency, r[0].scale) == (pytest.approx(low), pytest.approx(high), currency, scale)
+
+
 @pytest.mark.parametrize("text", [None, "", "unknown", "see notes", "N/A", "<ref>5 million</ref>", "x" * 100_000])
 def test_no_amount(text):
     assert money.amount_readings(text) == []
