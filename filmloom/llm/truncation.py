@@ -5,7 +5,8 @@ there. Every line of every text but the last is known to be whole: its last
 position is an end, its other positions are continuations. Ends of texts are
 counted once per distinct tail, and never in judging the text itself. A text whose
 final context rather continues is cut; the threshold on the log-odds is set for
-every language and source at the valley between whole and cut texts.
+every language and source at the valley between whole and cut texts, each leaning
+on its language and all texts the more, the fewer texts it has.
 
 The model is a table of n-gram counts, joined to the contexts that ask for it. Its
 size is bounded by the n-grams a language has, not by the number of texts.
@@ -217,7 +218,7 @@ def score(documents: DataFrame) -> DataFrame:
     return tails.join(full, ["kind", "codes"]).select("doc_id", "lang", "source", "log_odds", "kind", "tail")
 
 
-def valley(counts: dict[int, int], low: float = -6.0, high: float = -0.5) -> float:
+def valley(counts: dict[int, float], low: float = -6.0, high: float = -0.5) -> float:
     """The log-odds between low and high where the histogram (bin -> count) is thinnest; the middle of the widest gap."""
     bins = range(int(low / BIN), int(high / BIN) + 1)
     heights = [sum(counts.get(b + k, 0) * w for k, w in ((-1, 0.5), (0, 1.0), (1, 0.5))) for b in bins]
@@ -226,21 +227,32 @@ def valley(counts: dict[int, int], low: float = -6.0, high: float = -0.5) -> flo
     return (flat[len(flat) // 2] + 0.5) * BIN
 
 
+def _blend(counts: dict[int, int], wider: dict[int, float], weight: float) -> dict[int, float]:
+    """The histogram with that of a wider group added, which counts as `weight` texts."""
+    share = weight / sum(wider.values())
+    return {b: counts.get(b, 0) + share * wider.get(b, 0) for b in {*counts, *wider}}
+
+
 def thresholds(scored: DataFrame, enough: int = 2000) -> tuple[dict, float]:
-    """Threshold per (lang, source) with at least `enough` texts, and the one of all texts for the others.
+    """Threshold per (lang, source) where it isn't that of all texts, and the one of all texts.
 
-    The histogram has as many rows as languages x sources x bins.
+    One rule at every size: the histogram of all texts counts as `enough` texts in that of a language, and this one as
+    `enough` in that of each of its sources. The histogram has as many rows as languages x sources x bins.
     """
     binned = scored.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.floor(F.greatest(F.least("log_odds", F.lit(HIGHEST)), F.lit(LOWEST)) / BIN).cast("int").alias("bin"))
     by: dict = {}
+    spoken: dict[str, dict[int, int]] = {}
     overall: dict[int, int] = {}
-    for r in binned.groupBy("lang", "source", "bin").count().collect():
+    for r in sorted(binned.groupBy("lang", "source", "bin").count().collect()):
         by.setdefault((r.lang, r.source), {})[r.bin] = r["count"]
-        overall[r.bin] = overall.get(r.bin, 0) + r["count"]
+        for h in (spoken.setdefault(r.lang, {}), overall):
+            h[r.bin] = h.get(r.bin, 0) + r["count"]
     if not overall:
         return {}, -2.0
     general = valley(overall)
-    return {k: valley(c, general - 1.5, general + 1.5) for k, c in by.items() if sum(c.values()) >= enough}, general
+    wider = {lang: _blend(c, overall, enough) for lang, c in spoken.items()}
+    own = {k: valley(_blend(c, wider[k[0]], enough), general - 1.5, general + 1.5) for k, c in by.items()}
+    return {k: v for k, v in own.items() if v != general}, general
 
 
 def detect(documents: DataFrame) -> DataFrame:

@@ -220,6 +220,23 @@ def test_truncation_held_out(spark):
     assert truncation.detect(docs.limit(0)).count() == 0
 
 
+def test_thresholds_have_one_rule_at_every_size(spark):
+    """A cell just below and just above `enough` texts gets the same threshold, and a language moves its small cells."""
+
+    def texts(lang, source, n, gap):
+        odds = [b * 0.5 + 0.2 for b in range(-20, 0) if not gap - 0.6 < b * 0.5 + 0.2 < gap + 0.6]
+        return [(lang, source, odds[i % len(odds)]) for i in range(n)]
+
+    def at(n):
+        rows = texts("en", "big", 4000, -4.5) + [r for s in range(20) for r in texts("fr", f"s{s}", n, -3.5)]
+        single, general = truncation.thresholds(spark.createDataFrame(rows, "lang string, source string, log_odds double"), 60)
+        return single.get(("fr", "s0"), general), single.get(("en", "big"), general), general
+
+    below, above = at(58), at(62)
+    assert below == above and below[0] > below[1] == below[2]
+    assert truncation.thresholds(spark.createDataFrame([], "lang string, source string, log_odds double")) == ({}, -2.0)
+
+
 def test_ngram_counts_are_exact(spark):
     texts = ["ab\nab c.", "ab", ""]
     got = truncation.count_ngrams(spark.createDataFrame([(t,) for t in texts], "text string")).agg(F.sum("goes_on").alias("g"), F.sum("ends").alias("e")).collect()[0]
