@@ -3,7 +3,7 @@
 A clock reading without zone belongs to its source (a host). The zone of a source
 is the candidate region whose offset history violates the fewest alignments: an
 alignment is a zone-less reading of a source next to an instant, known with its
-zone, of the same subject within a day. Where alignments do not decide, the zone
+zone, of the same subject within a day, of all that a value states. Where alignments do not decide, the zone
 declared for the source stands.
 """
 
@@ -55,9 +55,13 @@ def parse(rows: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def zone_violations(parsed: DataFrame, regions: list[str]) -> DataFrame:
-    """Per source and candidate region: n_aligned alignments and n_violations of the region's offset history."""
-    one = parsed.where("size(stamps) > 0 AND subject IS NOT NULL AND subject <> ''").select(
-        "source", "subject", F.col("stamps")[0].alias("s")
+    """Per source and candidate region: n_aligned alignments and n_violations of the region's offset history.
+
+    Every stamp of a value counts, not only its first.
+    """
+    # explode_outer: no filter on the stamps is inferred that would have them read twice
+    one = parsed.where("subject IS NOT NULL AND subject <> ''").select(
+        "source", "subject", F.explode_outer("stamps").alias("s")
     ).where("s.precision <> 'day'")
     local = one.where("s.zone = 'local'").select("source", "subject", F.col("s.local").alias("local"), (F.col("s.precision") == "minute").alias("coarse")).distinct()
     known = (

@@ -140,6 +140,17 @@ def test_zone_estimate(spark):
     assert timestamps.normalise(timestamps.parse(parsed.limit(0), declared), {}).count() == 0
 
 
+def test_zone_estimate_from_all_stamps(spark):
+    """The clock times of a value count wherever they stand in it."""
+    rows, declared = [], spark.createDataFrame([("h", "Europe/Paris", "dmy"), ("k", "America/New_York", "mdy")], "source string, tz_name string, date_order string")
+    for i in range(30):
+        day = f"2001-{1 + i % 12:02d}-{1 + i % 28:02d}"
+        ny = instants.to_utc(instants.stamps(f"{day} 09:00:00")[0], "America/New_York")[0]
+        rows += [("rt", f"a{i}", "h", f"s{i}", f"{day}; {day} 09:00:00"), ("rt", f"b{i}", "k", f"s{i}", f"{day}; {ny:%Y-%m-%dT%H:%M:%SZ}")]
+    parsed = timestamps.parse(spark.createDataFrame(rows, "rec_table string, rec_key string, source string, subject string, value string"), declared)
+    assert timestamps.choose_zones(parsed, declared)["h"] == "America/New_York"
+
+
 def test_lattice_pieces():
     assert lattice.pieces('"A, B"; C & D')[0] == ("A, B", "C", "D")
     assert lattice.pieces("")[0] == () and lattice.pieces(" , ;")[0] == () and lattice.pieces('Ann "Bo, Z" Cy')[0] == ('Ann "Bo, Z" Cy',)
