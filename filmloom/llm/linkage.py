@@ -26,7 +26,6 @@ _FOLDED = "".join(k * len(v) for k, v in _FOLDS.items())
 SMALL_WORDS = ("the", "a", "an", "of", "and", "in", "to", "le", "la", "les", "el", "los", "der", "die", "das", "de")
 ROMAN = {"ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10"}
 HOT_PAGES = 50
-MOST_FACTS = 3
 FIELDS = ("title", "year", "director", "cast", "runtime")
 LEVELS = {"title": 4, "year": 3, "director": 3, "cast": 3, "runtime": 3}
 THRESHOLD = 0.5
@@ -164,9 +163,9 @@ def _keys(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
     return df.where("size(words) > 0").select(name, F.explode(both).alias("k")).select(name, "k.key", "k.year")
 
 
-def _met(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs under equal keys whose years, where both are known, are at most one apart."""
-    both = left.join(right.withColumnRenamed("year", "other"), "key")
+def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs that agree in `on` whose years, where both are known, are at most one apart."""
+    both = left.join(right.withColumnRenamed("year", "other"), on)
     return both.where((F.col("year") == 0) | (F.col("other") == 0) | (F.abs(F.col("year") - F.col("other")) <= 1)).select("left_id", "right_id")
 
 
@@ -174,33 +173,16 @@ def candidate_pairs(left: DataFrame, right: DataFrame, titles: DataFrame, hot_pa
     """Distinct (left_id, right_id) that meet in a blocking pass. left has `left_id`, right and titles `right_id`.
 
     Passes: equal words, equal letters (a misplaced space), one's whole title before the other's colon, all words but
-    one with years at most one apart (or unknown on a side). A key that very many pages share (a title that is no title)
-    tells none of them from the others: there, a year or a name must agree besides, and where very many share that too,
-    a further one, up to MOST_FACTS. Records without any title word are left out.
+    one with years at most one apart (or unknown on a side). Every pair under a key is met; a key that more than
+    hot_pages title rows share is dealt into parts of about so many, so that no task holds all of it. Records without
+    any title word are left out.
     """
-
-    def facts(df: DataFrame, name: str) -> DataFrame:
-        told = F.array_union(F.transform("years", lambda y: F.xxhash64(y)), F.transform(F.array_union("directors", "cast"), lambda p: F.xxhash64(p)))
-        return df.select(name, told.alias("facts"))
-
-    def narrowed(keys: DataFrame, hot: DataFrame, df: DataFrame, name: str) -> DataFrame:
-        """The rows under hot keys, under each fact besides; facts in rising order, so that every set is met once."""
-        both = keys.join(hot, "key").join(facts(df, name), name)
-        more = both.select(name, "key", "year", F.explode(F.filter("facts", lambda f: f > F.col("last"))).alias("last"))
-        return stage(more.select(name, F.xxhash64("key", "last").alias("key"), "year", "last"))
-
-    least = F.lit(-(2**63)).cast("long").alias("last")
-    l_keys, r_keys = stage(_keys(left, "left_id", "n", "m").select("*", least)), stage(_keys(titles, "right_id", "m", "n").distinct().select("*", least))
-    found: DataFrame | None = None
-    for step in range(MOST_FACTS + 1):
-        hot = stage(r_keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_pages).select("key"))
-        last = step == MOST_FACTS or not hot.limit(1).count()
-        pairs = _met(l_keys, r_keys) if last else _met(l_keys.join(hot, "key", "left_anti"), r_keys.join(hot, "key", "left_anti"))
-        found = pairs if found is None else found.unionByName(pairs)
-        if last:
-            break
-        l_keys, r_keys = narrowed(l_keys, hot, left, "left_id"), narrowed(r_keys, hot, right, "right_id")
-    return found.distinct()
+    l_keys, r_keys = stage(_keys(left, "left_id", "n", "m")), stage(_keys(titles, "right_id", "m", "n").distinct())
+    hot = stage(r_keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_pages).select("key", F.ceil(F.col("n") / hot_pages).cast("int").alias("parts")))
+    found = _met(l_keys.join(hot, "key", "left_anti"), r_keys.join(hot, "key", "left_anti"), ["key"])
+    l_parts = l_keys.join(hot, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    r_parts = r_keys.join(hot, "key").withColumn("part", F.pmod(F.xxhash64("right_id"), "parts").cast("int")).drop("parts")
+    return found.unionByName(_met(l_parts, r_parts, ["key", "part"])).distinct()
 
 
 def _overlap(a: str, b: str) -> Column:

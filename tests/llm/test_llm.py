@@ -94,6 +94,18 @@ def test_linkage(spark):
     assert linkage.best_matches(linkage.link(left.limit(0), right.limit(0), redirect.limit(0))).count() == 0
 
 
+def test_every_pair_under_a_hot_key_is_met(spark):
+    """A page of a very common title without any name, its year off by one, meets all records of that title."""
+    rt = [("bare", "Untitled", 1998, None, None, None, "70m"), ("other", "Untitled", None, None, "Zed Yang", ["Pam Rice"], None)]
+    wiki = [(f"h{i}", "Untitled", "untitled", 1999, None, [f"No{i} Body{i}"], [f"Al{i} So{i}"], 70) for i in range(80)]
+    redirect = spark.createDataFrame([], "redirect_title string, target_title string, target_title_norm string")
+    left = linkage.left_records(spark.createDataFrame(rt, RT)).withColumn("year", linkage._one_year(F.col("years"))).withColumnRenamed("id", "left_id")
+    wiki = spark.createDataFrame(wiki, WIKI)
+    right, titles = linkage.right_records(wiki).withColumnRenamed("id", "right_id"), linkage.page_titles(wiki, redirect).withColumnRenamed("id", "right_id")
+    pairs = linkage.candidate_pairs(left, right, titles)
+    assert pairs.count() == pairs.distinct().count() == 160
+
+
 def test_expectation_maximisation():
     rng = np.random.default_rng(2)
     counts: dict = {}
