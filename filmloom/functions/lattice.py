@@ -9,7 +9,6 @@ from functools import lru_cache
 # The marks and words that can separate values, and how probable a split at each is before the values are looked at.
 SPLIT_PRIOR = {"\n": 0.98, "\t": 0.9, "|": 0.98, ";": 0.98, "·": 0.98, "•": 0.98, "/": 0.9, ",": 0.6, "&": 0.7, "word": 0.6, ",word": 0.9, "+": 0.7}
 NEW, RARE = "new", "rare"
-MAX_PIECES = 4  # a value that itself holds delimiters holds at most three
 
 _DELIMITER = re.compile(r"\s*,\s*(?:and|und|et|y|e|&)\s+|\s*[\n\r]+\s*|\s*[|;·•,/&\t+]\s*|\s+(?:and|und|et|y)\s+")
 _QUOTED = re.compile(r'(?<![^\s|;·•,/&+])"([^"]*)"(?![^\s|;·•,/&+])|“([^”]*)”|«([^»]*)»')
@@ -77,7 +76,7 @@ def segment(text: str, i: int, j: int) -> str | None:
 
 def candidates(text: str) -> list[str]:
     n = len(pieces(text)[0])
-    found = (segment(text, i, j) for i in range(n) for j in range(i + 1, min(n, i + MAX_PIECES) + 1))
+    found = (segment(text, i, j) for i in range(n) for j in range(i + 1, n + 1))
     return list(dict.fromkeys(s for s in found if s))
 
 
@@ -102,7 +101,7 @@ def _edges(text: str, counts: dict[str, float], total: float, shapes: dict[str,
     parts, _, _, kinds = pieces(text)
     n = len(parts)
     for i in range(n):
-        for j in range(i + 1, min(n, i + MAX_PIECES) + 1):
+        for j in range(i + 1, n + 1):
             s = segment(text, i, j)
             if not s:
                 continue

@@ -156,6 +156,14 @@ def test_lattice_pieces():
     assert lattice.pieces("")[0] == () and lattice.pieces(" , ;")[0] == () and lattice.pieces('Ann "Bo, Z" Cy')[0] == ('Ann "Bo, Z" Cy',)
 
 
+def test_value_of_many_pieces_stays_whole():
+    """A value with four or more delimiters inside is kept, alone and beside another, where the counts say so."""
+    value = "Bonaire, Saba, Statia, Aruba, Sint Eustatius and Curacao"
+    counts, shapes = {value: 50.0, "France": 50.0}, {lattice.shape(value): 0.5, lattice.shape("France"): 0.5, lattice.NEW: 0.01, lattice.RARE: 1e-4}
+    assert value in lattice.candidates(value) and lattice.viterbi(value, counts, 100.0, shapes) == [value]
+    assert lattice.viterbi(f"{value}; France", counts, 100.0, shapes) == [value, "France"]
+
+
 def test_packed_fields(spark):
     rng = random.Random(5)
     base = ["France", "Spain", "India", "Trinidad and Tobago", "Korea, Republic of"]
