@@ -41,33 +41,30 @@ def _plain_title(title: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, "&+", " and "), r"['’`]", "")
 
 
-def _words(plain: Column) -> Column:
-    words = F.trim(F.regexp_replace(plain, r"(?U)[^\p{L}\p{N}]+", " "))
-    words = F.regexp_replace(words, r"^(the|a|an) (?=\S)|(?<=\S) (the|a|an)$", "")
+def _word_list(words: Column) -> Column:
+    """Words of a string of words without articles at either end; numerals as digits. A first word that is one slip away
+    from "the" counts as one."""
     first = F.substring_index(words, " ", 1)
     slipped = (F.length(first).between(2, 4) & (F.levenshtein(first, F.lit("the"), 1) >= 0) | first.isin("teh", "hte")) & words.contains(" ")
-    parts = F.filter(F.split(F.when(slipped, F.regexp_replace(words, r"^\S+ ", "")).otherwise(words), " "), lambda w: w != "")
+    parts = F.filter(F.split(F.when(slipped, F.substr(words, F.length(first) + 2)).otherwise(words), " "), lambda w: w != "")
     numerals = F.create_map(*[F.lit(x) for kv in ROMAN.items() for x in kv])
-    return F.transform(parts, lambda w: F.when((F.length(w) <= 4) & w.rlike("^[ivx]+$"), F.coalesce(numerals[w], w)).otherwise(w))
+    digits = F.transform(parts, lambda w: F.coalesce(numerals[w], w))
+    return F.when(words.rlike(r"(?:^| )[ivx]+(?: |$)"), digits).otherwise(parts)
 
 
-def title_words(title: Column) -> Column:
-    """Words of a title without qualifiers in brackets, marks, case, articles at either end; numerals as digits.
+def with_title_columns(df: DataFrame, title: Column) -> DataFrame:
+    """df with words, whole and main of a title, step by step, so that no step is evaluated for each that follows it.
 
-    A first word that is one slip away from "the" counts as one. A title without any Latin letter or digit keeps its own
-    letters.
+    words: without qualifiers in brackets, marks, case and articles at either end, numerals as digits. A title without any
+    Latin letter or digit keeps its own letters. whole: its letters and digits with its article and without spaces, which a
+    misplaced space leaves as they are. main: the words before the first colon as one; NULL without a colon.
     """
-    return _words(_plain_title(title))
-
-
-def whole_key(title: Column) -> Column:
-    """A title's letters and digits with its article and without spaces, which a misplaced space leaves as they are."""
-    return F.regexp_replace(_plain_title(title), r"(?U)[^\p{L}\p{N}]+", "")
-
-
-def main_key(title: Column) -> Column:
-    """The letters and digits of what stands before the first colon; NULL without a colon."""
-    return F.when(title.contains(":"), F.array_join(_words(F.substring_index(_plain_title(title), ":", 1)), ""))
+    edge = lambda c: F.regexp_replace(c, r"^(the|a|an) (?=\S)|(?<=\S) (the|a|an)$", "")
+    spaced = lambda c: F.trim(F.regexp_replace(c, r"(?U)[^\p{L}\p{N}]+", " "))
+    df = df.withColumn("__plain", _plain_title(title))
+    df = df.withColumns({"__spaced": spaced(F.col("__plain")), "__colon": F.when(F.col("__plain").contains(":"), edge(spaced(F.substring_index("__plain", ":", 1))))})
+    df = df.withColumns({"__edged": edge(F.col("__spaced")), "whole": F.replace("__spaced", F.lit(" "), F.lit(""))})
+    return df.withColumns({"words": _word_list(F.col("__edged")), "main": F.when(F.col("__colon").isNotNull(), F.array_join(_word_list(F.col("__colon")), ""))}).drop("__plain", "__spaced", "__colon", "__edged")
 
 
 def people_tokens(text: Column) -> Column:
@@ -78,18 +75,21 @@ def people_tokens(text: Column) -> Column:
 
 
 def _skip_keys(words: Column) -> Column:
-    """One key for every word left out. Where fewer than two words with weight remain, the left-out word stays in the
-    key with one character deleted (and as it stands), so that no key is as common as a single word."""
-    heavy = lambda arr: F.size(F.filter(arr, lambda w: ~w.isin(*SMALL_WORDS)))
+    """One key for every word left out: its place and the other words' hashes folded into one. Where fewer than two words
+    with weight remain, the left-out word stays in the key with one character deleted (and as it stands), so that no key
+    is as common as a single word."""
+    light = lambda w: w.isin(*SMALL_WORDS)
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    every = F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(h))
+    weight = F.size(F.filter(words, lambda w: ~light(w)))
+    told = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
 
-    def without(w: Column, i: Column) -> Column:
-        rest = F.filter(words, lambda x, j: j != i)
-        base = F.concat(F.lit("~"), i.cast("string"), F.lit("~"), F.array_join(rest, " "))
-        cuts = F.transform(F.sequence(F.lit(0), F.length(w)), lambda k: F.concat(base, F.lit("~"), F.substring(w, F.lit(1), k), F.substring(w, k + 2, F.length(w))))
-        whole = F.concat(base, F.lit("~"), w)
-        return F.when(heavy(rest) >= 2, F.array(base)).otherwise(F.array_distinct(F.concat(F.array(whole), cuts)))
+    def without(x: Column) -> Column:
+        w, rest = x["w"], every.bitwiseXOR(F.xxhash64(x["w"]))
+        cuts = F.transform(F.sequence(F.lit(0), F.length(w)), lambda k: F.xxhash64(rest, x["i"], F.concat(F.substring(w, F.lit(1), k), F.substring(w, k + 2, F.length(w)))))
+        return F.when(weight - F.when(light(w), 0).otherwise(1) >= 2, F.array(F.xxhash64(rest, x["i"]))).otherwise(cuts)
 
-    return F.flatten(F.transform(words, without))
+    return F.flatten(F.transform(told, without))
 
 
 def _year_of(*texts: Column) -> Column:
@@ -100,10 +100,6 @@ def year_in(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?<!\d)((?:18|19|20)\d{2})(?!\d)", 1), F.lit("")).try_cast("int")
 
 
-def _title_columns(title: Column) -> list[Column]:
-    return [title_words(title).alias("words"), whole_key(title).alias("whole"), main_key(title).alias("main")]
-
-
 def _one_year(years: Column) -> Column:
     """The year where there is one, 0 where there is none or more than one: a key's year, compatible with any if 0."""
     return F.when(F.size(years) == 1, years[0]).otherwise(0)
@@ -116,9 +112,11 @@ def left_records(rt: DataFrame) -> DataFrame:
     """
     hours = F.coalesce(F.nullif(F.regexp_extract("runtime", r"(\d+)\s*h", 1), F.lit("")).try_cast("int"), F.lit(0))
     minutes = F.coalesce(F.nullif(F.regexp_extract("runtime", r"(\d+)\s*m", 1), F.lit("")).try_cast("int"), F.lit(0))
-    return rt.where("file_path IS NOT NULL").select(
+    return with_title_columns(rt.where("file_path IS NOT NULL"), F.coalesce("title", F.lit(""))).select(
         F.col("file_path").alias("id"),
-        *_title_columns(F.coalesce("title", F.lit(""))),
+        "words",
+        "whole",
+        "main",
         _year_of(F.col("rt_year").cast("int"), year_in(F.col("release_date"))).alias("years"),
         people_tokens(F.coalesce("director", F.lit(""))).alias("directors"),
         people_tokens(F.coalesce(F.array_join("cast", " "), F.lit(""))).alias("cast"),
@@ -147,7 +145,7 @@ def page_titles(wiki: DataFrame, redirect: DataFrame) -> DataFrame:
     target = lambda norm, plain: F.when(F.col(norm) != "", F.col(norm)).otherwise(F.concat(F.lit("="), F.col(plain)))
     other = redirect.where("redirect_title IS NOT NULL").select("redirect_title", target("target_title_norm", "target_title").alias("t")).distinct()
     through = own.select("id", "year", target("wiki_title_norm", "title").alias("t")).join(other, "t").select("id", F.col("redirect_title").alias("title"), "year")
-    return own.select("id", "title", "year").unionByName(through).select("id", *_title_columns(F.col("title")), "year")
+    return with_title_columns(own.select("id", "title", "year").unionByName(through), F.col("title")).select("id", "words", "whole", "main", "year")
 
 
 def _keys(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
@@ -155,18 +153,12 @@ def _keys(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
     whole for the other's main title, and, with the year, the words but one. Keys are hashes; a clash costs one
     comparison."""
     light = F.filter("words", lambda w: ~w.isin("a", "an", "the"))
-    joined = F.array_join(F.when(F.size(light) > 0, light).otherwise(F.col("words")), "")
-    few = F.when(F.size("words").between(2, 24), _skip_keys(F.col("words"))).otherwise(F.array().cast("array<string>"))
-    plain = F.array(F.concat(F.lit("="), joined), F.concat(F.lit("w"), "whole"), F.concat(F.lit(own), "main"), F.concat(F.lit(other), joined))
-    kept = lambda ks, y: F.transform(F.filter(ks, lambda k: k.isNotNull() & (F.length(k) > 1)), lambda k: F.struct(F.xxhash64(k).alias("key"), y.alias("year")))
-    both = F.array_distinct(F.concat(kept(plain, F.lit(0)), kept(few, F.col("year"))))
-    return df.where("size(words) > 0").select(name, F.explode(both).alias("k")).select(name, "k.key", "k.year")
-
-
-def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs that agree in `on` whose years, where both are known, are at most one apart."""
-    both = left.join(right.withColumnRenamed("year", "other"), on)
-    return both.where((F.col("year") == 0) | (F.col("other") == 0) | (F.abs(F.col("year") - F.col("other")) <= 1)).select("left_id", "right_id")
+    told = df.where("size(words) > 0").withColumn("joined", F.array_join(F.when(F.size(light) > 0, light).otherwise(F.col("words")), ""))
+    few = F.when(F.size("words") > 1, _skip_keys(F.col("words"))).otherwise(F.array().cast("array<long>"))
+    plain = F.array(*[F.when(F.length(k) > 1, F.xxhash64(k)) for k in (F.concat(F.lit("="), "joined"), F.concat(F.lit("w"), "whole"), F.concat(F.lit(own), "main"), F.concat(F.lit(other), "joined"))])
+    return told.select(name, "year", F.explode(F.array_distinct(F.concat(F.transform(F.array_compact(plain), lambda k: F.struct(k.alias("key"), F.lit(False).alias("dated"))), F.transform(few, lambda k: F.struct(k.alias("key"), F.lit(True).alias("dated")))))).alias("k")).select(
+        name, "k.key", F.when(F.col("k.dated"), F.col("year")).otherwise(0).alias("year")
+    )
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, titles: DataFrame, hot_pages: int = HOT_PAGES) -> DataFrame:
@@ -177,12 +169,12 @@ def candidate_pairs(left: DataFrame, right: DataFrame, titles: DataFrame, hot_pa
     hot_pages title rows share is dealt into parts of about so many, so that no task holds all of it. Records without
     any title word are left out.
     """
-    l_keys, r_keys = stage(_keys(left, "left_id", "n", "m")), stage(_keys(titles, "right_id", "m", "n").distinct())
+    l_keys, r_keys = _keys(left, "left_id", "n", "m"), stage(_keys(titles, "right_id", "m", "n").distinct())
     hot = stage(r_keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_pages).select("key", F.ceil(F.col("n") / hot_pages).cast("int").alias("parts")))
-    found = _met(l_keys.join(hot, "key", "left_anti"), r_keys.join(hot, "key", "left_anti"), ["key"])
-    l_parts = l_keys.join(hot, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    r_parts = r_keys.join(hot, "key").withColumn("part", F.pmod(F.xxhash64("right_id"), "parts").cast("int")).drop("parts")
-    return found.unionByName(_met(l_parts, r_parts, ["key", "part"])).distinct()
+    r_parts = r_keys.join(hot, "key", "left").select("key", F.coalesce(F.pmod(F.xxhash64("right_id"), "parts").cast("int"), F.lit(0)).alias("part"), "right_id", F.col("year").alias("other"))
+    l_parts = l_keys.join(hot, "key", "left").select("key", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))).alias("part"), "left_id", "year")
+    both = l_parts.join(r_parts, ["key", "part"])
+    return both.where((F.col("year") == 0) | (F.col("other") == 0) | (F.abs(F.col("year") - F.col("other")) <= 1)).select("left_id", "right_id").distinct()
 
 
 def _overlap(a: str, b: str) -> Column:
