@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -241,16 +242,32 @@ def test_thresholds_have_one_rule_at_every_size(spark):
 
     def at(n):
         rows = texts("en", "big", 4000, -4.5) + [r for s in range(20) for r in texts("fr", f"s{s}", n, -3.5)]
-        single, general = truncation.thresholds(spark.createDataFrame(rows, "lang string, source string, log_odds double"), 60)
-        return single.get(("fr", "s0"), general), single.get(("en", "big"), general), general
+        got = {(r.lang, r.source): r.threshold for r in truncation.thresholds(spark.createDataFrame(rows, "lang string, source string, log_odds double"), 60).collect()}
+        assert len(got) == 21
+        return got["fr", "s0"], got["en", "big"]
 
     below, above = at(58), at(62)
-    assert below == above and below[0] > below[1] == below[2]
-    assert truncation.thresholds(spark.createDataFrame([], "lang string, source string, log_odds double")) == ({}, -2.0)
+    assert below == above and below[0] > below[1]
+    assert truncation.thresholds(spark.createDataFrame([], "lang string, source string, log_odds double")).count() == 0
 
 
 def test_ngram_counts_are_exact(spark):
     texts = ["ab\nab c.", "ab", ""]
-    got = truncation.count_ngrams(spark.createDataFrame([(t,) for t in texts], "text string")).agg(F.sum("goes_on").alias("g"), F.sum("ends").alias("e")).collect()[0]
+    docs = spark.createDataFrame([(None, t) for t in texts], "lang string, text string")
+    got = truncation.count_ngrams(docs).agg(F.sum("goes_on").alias("g"), F.sum("ends").alias("e")).collect()[0]
     # "ab" (first line, whole): a goes on, b ends; "ab c." and "ab" (last lines): inner positions only
     assert (got.g, got.e) == (6 * (1 + 4 + 1), 6 * 1)
+    # of the n-grams asked for the counts are the same; a language counts for itself
+    every = {r.key: (r.goes_on, r.ends) for r in truncation.count_ngrams(docs).collect()}
+    some = spark.createDataFrame([(k,) for k in sorted(every)[::2]], "key long")
+    few = {r.key: (r.goes_on, r.ends) for r in truncation.count_ngrams(docs, truncation.asked_bits(some)).collect()}
+    assert set(sorted(every)[::2]) <= set(few) and all(every[k] == v for k, v in few.items())
+    other = truncation.count_ngrams(docs.withColumn("lang", F.lit("fr")))
+    assert not {r.key for r in other.collect()} & set(every)
+
+
+@given(st.lists(st.sampled_from(["a", "b ", ".", "...", "…", "[cut]", "( more )", "&hellip;", "»", ">>", "]", "(", "\n"]), max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_marks_of_a_cut(parts):
+    mark = re.compile(r"(?:\s*(?:\.{3,}|…|\[\s*(?:\.{3}|…|truncated|cut|more)\s*\]|\(\s*(?:\.{3}|…|more|continued)\s*\)|&hellip;|»»|>>))+\s*$", re.I)
+    assert truncation.strip_marks("".join(parts)) == mark.sub("", "".join(parts)).rstrip()
