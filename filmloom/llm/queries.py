@@ -35,10 +35,10 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _people(spark: SparkSession, d: str) -> DataFrame:
-    rt = load(spark, d, "rt", "cast")
-    wiki = load(spark, d, "wiki", "wiki_starring", "wiki_directors")
-    found = names.bare_names([F.col("cast"), F.col("wiki_starring"), F.col("wiki_directors")], [rt, wiki, wiki])
-    return names.link_spellings(found)
+    rt = load(spark, d, "rt", "cast", "title_norm")
+    wiki = load(spark, d, "wiki", "wiki_starring", "wiki_directors", "wiki_title_norm")
+    columns = [F.col("cast"), F.col("wiki_starring"), F.col("wiki_directors")]
+    return names.link_spellings(names.bare_names(columns, [F.col("title_norm"), F.col("wiki_title_norm"), F.col("wiki_title_norm")], [rt, wiki, wiki]))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
