@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import product
 
 from filmloom.functions.residue import strip_inline
 
-# ISO codes, signs and words of the currencies of the rate table.
+# ISO codes, signs and words of currencies. CODES are those of the rate table, read in either case; the other
+# codes only in capitals.
 CODES = ("USD", "GBP", "EUR", "INR", "JPY", "CAD", "AUD", "KRW", "SEK", "MXN", "PLN", "CHF", "BRL")
+OTHER_CODES = (
+    "AED AFN ALL AMD ANG AOA ARS AWG AZN BAM BBD BDT BGN BHD BIF BMD BND BOB BSD BTN BWP BYN BZD CDF CLP CNY COP CRC CUP CVE CZK DJF DKK DOP DZD EGP ERN ETB FJD FKP GEL GHS GIP GMD GNF GTQ GYD HKD HNL "
+    "HRK HTG HUF IDR ILS IQD IRR ISK JMD JOD KES KGS KHR KMF KPW KWD KYD KZT LAK LBP LKR LRD LSL LYD MAD MDL MGA MKD MMK MNT MOP MRU MUR MVR MWK MYR MZN NAD NGN NIO NOK NPR NZD OMR PAB PEN PGK PHP PKR "
+    "PYG QAR RON RSD RUB RWF SAR SBD SCR SDG SGD SHP SLE SOS SRD SSP STN SVC SYP SZL THB TJS TMT TND TOP TRY TTD TWD TZS UAH UGX UYU UZS VES VND VUV WST XAF XCD XOF XPF YER ZAR ZMW ZWL RMB"
+).split()
 SIGNS = {
     "US$": "USD", "U.S.$": "USD", "$US": "USD", "UK£": "GBP", "£": "GBP", "€": "EUR", "₹": "INR", "¥": "JPY", "JP¥": "JPY", "￥": "JPY", "円": "JPY",
     "C$": "CAD", "CA$": "CAD", "Can$": "CAD", "CDN$": "CAD", "A$": "AUD", "AU$": "AUD", "Aus$": "AUD", "₩": "KRW", "원": "KRW",
     "MX$": "MXN", "Mex$": "MXN", "zł": "PLN", "R$": "BRL", "Fr.": "CHF", "SFr.": "CHF", "sFr": "CHF", "Rs.": "INR", "Rs": "INR", "Re.": "INR",
     "kr": "SEK", "kr.": "SEK", "SKr": "SEK", "$": "USD",
+    "NZ$": "NZD", "HK$": "HKD", "S$": "SGD", "NT$": "TWD", "CN¥": "CNY", "元": "CNY", "₽": "RUB", "₺": "TRY", "₫": "VND", "₴": "UAH", "₪": "ILS", "฿": "THB", "₱": "PHP", "₦": "NGN", "₸": "KZT", "Kč": "CZK", "DKr": "DKK", "NKr": "NOK",
 }
 WORDS = {
     "us dollar": "USD", "u.s. dollar": "USD", "american dollar": "USD", "canadian dollar": "CAD", "australian dollar": "AUD", "dollar": "USD", "buck": "USD",
@@ -24,6 +31,9 @@ WORDS = {
     "swedish krona": "SEK", "swedish kronor": "SEK", "krona": "SEK", "kronor": "SEK", "mexican peso": "MXN", "peso": "MXN",
     "polish zloty": "PLN", "zloty": "PLN", "złoty": "PLN", "zlotych": "PLN", "złotych": "PLN", "swiss franc": "CHF", "franc": "CHF", "franken": "CHF",
     "brazilian real": "BRL", "real": "BRL", "reais": "BRL", "dollars canadiens": "CAD", "dólares": "USD", "dolares": "USD",
+    "new zealand dollar": "NZD", "hong kong dollar": "HKD", "singapore dollar": "SGD", "taiwan dollar": "TWD", "new taiwan dollar": "TWD", "egyptian pound": "EGP", "pakistani rupee": "PKR", "sri lankan rupee": "LKR",
+    "argentine peso": "ARS", "chilean peso": "CLP", "philippine peso": "PHP", "colombian peso": "COP", "danish krone": "DKK", "danish kroner": "DKK", "norwegian krone": "NOK", "norwegian kroner": "NOK",
+    "krone": "kroner", "kroner": "kroner", "ruble": "RUB", "rouble": "RUB", "yuan": "CNY", "renminbi": "CNY", "baht": "THB", "rupiah": "IDR", "ringgit": "MYR", "forint": "HUF", "koruna": "CZK", "lira": "TRY", "rand": "ZAR", "shekel": "ILS", "hryvnia": "UAH", "naira": "NGN",
 }
 SCALES = {
     "hundred": 1e2, "thousand": 1e3, "thousands": 1e3, "tsd": 1e3, "tsd.": 1e3, "k": 1e3, "mille": 1e3, "mil mill": 1e9, "lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "lacs": 1e5,
@@ -42,16 +52,17 @@ NUMBERS = {
 _SUPERSCRIPT = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789")
 _POWER = re.compile(r"(?:\s*[x×·*]\s*10\s*(?:\^|\*\*)?\s*\{?([0-9]{1,2})\}?(?![0-9])|[eE]\+?([0-9]{1,2})(?![0-9A-Za-z]))")
 _DIGITS = r"\d{1,3}(?:[  ,.'’]\d{2,3})+(?:[.,]\d{1,2})?(?!\d)|\d+(?:[.,]\d+)?"
+_OTHER = rf"(?-i:{'|'.join(OTHER_CODES)})"
 _SIGN_ALT = "|".join(sorted((re.escape(s) for s in SIGNS), key=len, reverse=True))
 _WORD_ALT = "|".join(sorted((re.escape(w) for w in WORDS), key=len, reverse=True))
 _SCALE_ALT = "|".join(sorted((re.escape(w) for w in SCALES), key=len, reverse=True))
 _NUMBER_ALT = "|".join(sorted(NUMBERS, key=len, reverse=True))
 _AMOUNT = re.compile(
-    rf"(?P<pre>(?:\b(?:{'|'.join(CODES)})(?![A-Za-z])|(?<![A-Za-z])US\s(?=\$)|(?<![A-Za-z])(?:{_SIGN_ALT})|\$)[ \t]*(?:\$[ \t]*)?)?"
+    rf"(?P<pre>(?:\b(?:{'|'.join(CODES)})(?![A-Za-z])|\b{_OTHER}(?![A-Za-z])|(?<![A-Za-z])US\s(?=\$)|(?<![A-Za-z])(?:{_SIGN_ALT})|(?-i:(?<![A-Za-z])[A-Z]{{1,3}}\$)|(?-i:(?<![A-Z]))\$)[ \t]*(?:\$[ \t]*)?)?"
     rf"(?:(?P<num>{_DIGITS})|(?P<words>\b(?:{_NUMBER_ALT})(?:[ -](?:and[ -])?(?:{_NUMBER_ALT}|hundred))*\b))"
     rf"(?P<power>(?:\s*[x×·*]\s*10\s*(?:\^|\*\*)?\s*\{{?[0-9⁰¹²³⁴-⁹]{{1,2}}\}}?|[eE]\+?[0-9]{{1,2}}(?![0-9A-Za-z])))?"
     rf"(?P<scale>(?:[ -]*(?:an?[ ])?(?:{_SCALE_ALT})(?![A-Za-z])\.?){{0,2}})"
-    rf"(?P<post>[ ]*(?:of[ ]|de[ ]|d')?(?:(?:{'|'.join(CODES)})(?![A-Za-z])|(?:{_WORD_ALT})(?:s|es|n)?(?![A-Za-z])|(?:{_SIGN_ALT})(?!\s*\d)))?",
+    rf"(?P<post>[ ]*(?:of[ ]|de[ ]|d')?(?:(?:{'|'.join(CODES)})(?![A-Za-z])|{_OTHER}(?![A-Za-z])|(?:{_WORD_ALT})(?:s|es|n)?(?![A-Za-z])|(?:{_SIGN_ALT})(?!\s*\d)))?",
     re.I,
 )
 _SCALE_ITEM = re.compile(rf"(?:{_SCALE_ALT})(?![A-Za-z])", re.I)
@@ -64,13 +75,15 @@ _FOLD_SIGNS = {k.lower(): v for k, v in SIGNS.items()}
 @dataclass(frozen=True)
 class Reading:
     """low and high in the currency's units; scale is what one unit of the written number stands for, of a number in
-    several scale groups that of the first."""
+    several scale groups that of the first; scale_open where the text leaves the scale open (a number below a thousand
+    without any word of scale)."""
 
     low: float
     high: float
     scale: float
     currency: str
     stated: bool
+    scale_open: bool = False
 
 
 def _number_readings(text: str) -> list[float]:
@@ -112,15 +125,16 @@ def _currency(text: str) -> str | None:
     t = re.sub(r"^(of|de|d')\s*", "", text.strip().lower()).strip()
     if not t:
         return None
-    if t.upper()[:3] in CODES and (len(t) == 3 or not t[3].isalpha()):
-        return t.upper()[:3]
+    if t.upper()[:3] in (*CODES, *OTHER_CODES) and (len(t) == 3 or not t[3].isalpha()):
+        return "CNY" if t.startswith("rmb") else t.upper()[:3]
     t2 = re.sub(r"\s+", "", t)
     if t2 in _FOLD_SIGNS:
         return _FOLD_SIGNS[t2]
     for form in (t, t.rstrip("s"), t.removesuffix("es"), t.rstrip("n")):
         if form in WORDS:
             return WORDS[form]
-    return None
+    # an unknown sign of dollars is a currency without a rate, never US dollars
+    return t2.upper() if re.fullmatch(r"[a-z]{1,3}\$", t2) else None
 
 
 def _numbers(m: re.Match) -> list[float]:
@@ -234,5 +248,6 @@ def amount_readings(text: str | None) -> list[Reading]:
             low, high = sorted((a * times[0], b * times[-1]))
             if (low, high) not in seen:
                 seen.add((low, high))
-                out.append(Reading(low, high, max(both), currency or "USD", currency is not None))
-    return out
+                out.append(Reading(low, high, max(both), currency or "USD", currency is not None, max(both) == 1.0 and high < 1000))
+    # a number that may be in the thousands by its separator is written out in full
+    return out if all(r.scale_open for r in out) else [replace(r, scale_open=False) for r in out]

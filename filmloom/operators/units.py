@@ -1,9 +1,10 @@
 """Conversion of amounts recorded in several units to one, with the unit chosen by the columns' identities.
 
-Every value gives the readings its text allows (number x scale x currency). A
-reading of a value in the common unit is amount x scale x rate; the identities
-that hold among the columns are on the log scale: each column has its centre,
-and the two columns of a record keep a typical ratio (log box office - log
+Every value gives the readings its text allows (number x scale x currency); a number
+below a thousand without a word of scale may be in single units, thousands or
+millions. A reading of a value in the common unit is amount x scale x rate; the
+identities that hold among the columns are on the log scale: each column has its
+centre, and the two columns of a record keep a typical ratio (log box office - log
 budget). Centres and spreads are medians over the records whose text leaves one
 reading, so that no guess enters them. The combination of readings of a record
 with the least sum of squared log residuals is chosen; where the second best
@@ -33,15 +34,17 @@ READING = T.StructType(
     ]
 )
 MARGIN = 1.0
+OPEN_SCALES = (1.0, 1e3, 1e6)
+MOST_RATES = 1000
 
 
 @F.pandas_udf(T.ArrayType(READING))
 def readings(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: [_fields(r) for r in amount_readings(v)])
+    return values.map(lambda v: [x for r in amount_readings(v) for x in _fields(r)])
 
 
-def _fields(r) -> dict:
-    return {"low": r.low, "high": r.high, "scale": r.scale, "currency": r.currency, "stated": r.stated}
+def _fields(r) -> list[dict]:
+    return [{"low": r.low * k, "high": r.high * k, "scale": r.scale * k, "currency": r.currency, "stated": r.stated} for k in (OPEN_SCALES if r.scale_open and r.high > 0 else (1.0,))]
 
 
 def _spread(col):
@@ -56,10 +59,13 @@ def convert(records: DataFrame, rates: DataFrame, key: str, fields: tuple[str, s
     Columns: key, field_name, raw, value_low, value_high, currency, scale, residual, n_readings, is_unique. Values
     without an amount (NULL, empty, "unknown") give no row; a currency without a rate gives a row with NULL amounts.
     Repeated rows of a key count once. `rates` is a small table (currency_code, usd_per_unit) that does not grow with
-    the data: it goes into a map literal of at most one entry per currency.
+    the data: it goes into a map literal of at most one entry per currency; more than MOST_RATES rows are an error.
     """
     a, b = fields
-    rate = {r.currency_code: float(r.usd_per_unit) for r in rates.select("currency_code", "usd_per_unit").where("usd_per_unit IS NOT NULL").limit(1000).collect() if r.currency_code}
+    told = rates.select("currency_code", "usd_per_unit").where("usd_per_unit IS NOT NULL AND currency_code IS NOT NULL").limit(MOST_RATES + 1).collect()
+    if len(told) > MOST_RATES:
+        raise ValueError(f"more than {MOST_RATES} rates: this is no table of currencies")
+    rate = {r.currency_code: float(r.usd_per_unit) for r in told}
     values = (
         records.select(F.col(f"`{key}`").alias("key"), F.col(f"`{a}`").alias("a"), F.col(f"`{b}`").alias("b"))
         .where("a IS NOT NULL OR b IS NOT NULL")

@@ -88,6 +88,29 @@ def test_no_amount(text):
     assert money.amount_readings(text) == []
 
 
+@pytest.mark.parametrize(
+    ("text", "currency"),
+    [("NZ$5,000", "NZD"), ("HK$ 3,000", "HKD"), ("DKK 5,000", "DKK"), ("NOK 10,000", "NOK"), ("CN¥500,000", "CNY"), ("5,000 rubles", "RUB"), ("XQ$5,000", "XQ$"), ("12,000 RMB", "CNY"), ("3 million kroner", "kroner"), ("5,000 Hong Kong dollars", "HKD"), ("TOP 5,000", "TOP"), ("approx $5,000", "USD"), ("US$5,000", "USD"), ("20 million Norwegian kroner", "NOK")],
+)
+def test_currencies_beyond_the_rate_table(text, currency):
+    """A currency that is not in the rate table is named, or kept as it is written; it is never taken for US dollars."""
+    assert {r.currency for r in money.amount_readings(text)} == {currency}
+
+
+def test_open_scale_is_decided_by_the_identities(spark):
+    """"$85" is 85 million where budgets are of that size; with no other column to go by (no facts) it stays 85."""
+    rows = [(str(i), f"US$ {40 + i % 70} million", f"US$ {120 + 3 * (i % 70)} million") for i in range(80)] + [("open", "$85", "$260 million"), ("small", "$60,000", "$90 million"), ("none", "NZ$ 5,000", None)]
+    rates = spark.createDataFrame([("USD", 1.0)], "currency_code string, usd_per_unit double")
+    w = spark.createDataFrame(rows, "id string, a string, b string")
+    got = {(r.key, r.field_name): r for r in units.convert(w, rates, "id", ("a", "b")).collect()}
+    assert (got["open", "a"].value_low, got["open", "a"].scale) == (85e6, 1e6) and got["small", "a"].value_low == 60000 and got["none", "a"].value_low is None
+    assert ("open", "a") in {(r.key, r.field_name) for r in units.other_units(units.convert(w, rates, "id", ("a", "b"))).collect()}
+    alone = units.convert(w.where("id = 'open'").select("id", "a", F.lit(None).cast("string").alias("b")), rates, "id", ("a", "b")).collect()
+    assert [(r.value_low, r.is_unique) for r in alone] == [(85.0, False)]
+    with pytest.raises(ValueError):
+        units.convert(w, spark.range(1001).selectExpr("cast(id as string) AS currency_code", "1D AS usd_per_unit"), "id", ("a", "b"))
+
+
 def test_units_by_residual(spark):
     """A number that its text leaves open is read as the other column makes likely; a lone one is flagged."""
     rows = [(str(i), f"US$ {1 + i % 7}.5 million", f"US$ {3 + 3 * (i % 7)}.5 million") for i in range(60)] + [("open", "$1,234 million", "$3.1 million"), ("sek", "kr 5", None), ("none", None, None), ("sek", "kr 5", None)]
@@ -95,7 +118,7 @@ def test_units_by_residual(spark):
     rates = spark.createDataFrame([("USD", 1.0), ("SEK", 0.1), (None, 2.0)], "currency_code string, usd_per_unit double")
     got = {(r.key, r.field_name): r for r in units.convert(w, rates, "id", ("a", "b")).collect()}
     assert got["open", "a"].value_low == pytest.approx(1.234e6) and got["open", "a"].n_readings == 2
-    assert got["sek", "a"].value_low == pytest.approx(0.5) and ("none", "a") not in got
+    assert got["sek", "a"].value_low == pytest.approx(5e5) and got["sek", "a"].scale == 1e6 and ("none", "a") not in got
     assert {(r.key, r.field_name) for r in units.other_units(units.convert(w, rates, "id", ("a", "b"))).collect()} >= {("sek", "a"), ("open", "a")}
     assert units.convert(w.limit(0), rates.limit(0), "id", ("a", "b")).count() == 0
 
