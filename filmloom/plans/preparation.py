@@ -47,7 +47,12 @@ def _instants(spark: SparkSession, d: str) -> DataFrame:
     )
     declared = load(spark, d, "site_zones").withColumnRenamed("host", "source")
     parsed = timestamps.parse(rt.unionByName(wiki), declared)
-    return timestamps.normalise(parsed, timestamps.choose_zones(parsed, declared))
+    # when the page of a zone-less time was fetched; a stored file's name tells its page, however the path is spelled
+    name = lambda c: F.substring_index(F.trim(F.translate(c, "\\", "/")), "/", -1)
+    asked = timestamps.open_readings(parsed).where("rec_table = 'rt'").select("rec_table", "rec_key", name(F.col("rec_key")).alias("name")).distinct()
+    fetched = load(spark, d, "urls", "file_path", "crawled_at").where("crawled_at IS NOT NULL AND file_path <> ''").select(name(F.col("file_path")).alias("name"), F.col("crawled_at").cast("timestamp_ntz").alias("at"))
+    ingested = fetched.join(asked, "name").select("rec_table", "rec_key", "at").distinct()
+    return timestamps.normalise(parsed, timestamps.choose_zones(parsed, declared, ingested))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from hypothesis import given, settings
@@ -156,11 +156,60 @@ def test_zone_estimate(spark):
     rows += [("rt", "n", "h", None, None), ("rt", "e", "h", "s", ""), ("rt", "u", "unknown", "s", "2001-01-01 10:00")]
     parsed = timestamps.parse(spark.createDataFrame([(*r, "x") for r in rows], "rec_table string, rec_key string, source string, subject string, value string, stamps string"), declared)
     zones = timestamps.choose_zones(parsed, declared)
-    assert zones["h"] == "America/New_York" and timestamps.choose_zones(parsed, declared, min_aligned=1000)["h"] == "Europe/Paris"
+    assert zone_of(zones)["h"] == "America/New_York" and zone_of(timestamps.choose_zones(parsed, declared, weight=1000))["h"] == "Europe/Paris"
     got = timestamps.normalise(parsed, zones)
     assert {r.how for r in got.where("rec_key = 'u'").collect()} == {"assumed"}
     assert {r.rec_key for r in timestamps.not_in_form(got).collect()} == {f"a{i}" for i in range(40)} | {"u"}
-    assert timestamps.normalise(timestamps.parse(parsed.limit(0), declared), {}).count() == 0
+    assert timestamps.normalise(timestamps.parse(parsed.limit(0), declared), zones.limit(0)).count() == 0
+    assert zone_of(timestamps.choose_zones(timestamps.parse(parsed.limit(0), declared), declared)) == {"h": "Europe/Paris", "k": "America/New_York"}
+    with pytest.raises(ValueError):
+        timestamps.choose_zones(parsed, spark.range(10_001).selectExpr("cast(id as string) AS source", "'UTC' AS tz_name", "'dmy' AS date_order"))
+
+
+def zone_of(zones) -> dict:
+    return {r.source: r.tz_name for r in zones.collect()}
+
+
+def test_zone_estimate_from_ingestion(spark):
+    """A source whose declared zone puts its readings after the time they were taken in gets the region that does not; the
+    instants follow. Without the alignments they stay an hour off."""
+    declared = spark.createDataFrame([("h", "Europe/London", "dmy"), ("k", "Europe/Paris", "dmy"), ("z", "Europe/Paris", "dmy")], "source string, tz_name string, date_order string")
+    rows, at = [], []
+    for i in range(60):
+        local = datetime(2001, 1 + i % 12, 1 + i % 28, 9, i % 60)
+        for source in ("h", "k"):  # both in truth Paris: read, and taken in five minutes later
+            utc, _ = instants.to_utc(instants.stamps(f"{local:%Y-%m-%d %H:%M:%S}")[0], "Europe/Paris")
+            rows.append(("rt", f"{source}{i}", source, None, f"{local:%Y-%m-%d %H:%M:%S}"))
+            at.append(("rt", f"{source}{i}", utc + timedelta(minutes=5)))
+        rows.append(("rt", f"z{i}", "z", None, f"{local:%Y-%m-%d %H:%M:%S}"))  # taken in years later: tells nothing
+        at.append(("rt", f"z{i}", datetime(2020, 1, 1)))
+    parsed = timestamps.parse(spark.createDataFrame(rows, "rec_table string, rec_key string, source string, subject string, value string"), declared)
+    ingested = spark.createDataFrame(at, "rec_table string, rec_key string, at timestamp_ntz")
+    zones = timestamps.choose_zones(parsed, declared, ingested)
+    assert zone_of(zones) == {"h": "Europe/Paris", "k": "Europe/Paris", "z": "Europe/Paris"} and zone_of(timestamps.choose_zones(parsed, declared))["h"] == "Europe/London"
+    utc = lambda zones: {r.rec_key: r.utc for r in timestamps.normalise(parsed, zones).collect()}
+    with_it, without = utc(zones), utc(timestamps.choose_zones(parsed, declared))
+    assert all(with_it[f"h{i}"] == with_it[f"k{i}"] != without[f"h{i}"] for i in range(60))
+
+
+def test_one_zone_rule_at_every_size(spark):
+    """Alignments of which half are chance change nothing, at a hundred as at ten thousand."""
+    declared = spark.createDataFrame([("h", "Europe/Paris", "dmy"), ("k", "America/New_York", "mdy")], "source string, tz_name string, date_order string")
+    for n in (100, 10_000):
+        counts = [("h", "Europe/Paris", n, n * 55 // 100), ("h", "America/New_York", n, n * 45 // 100), ("h", "UTC", n, n)]
+        original = timestamps.zone_violations
+        timestamps.zone_violations = lambda *a, c=counts: spark.createDataFrame(c, "source string, tz_name string, n_aligned long, n_violations long")
+        try:
+            assert zone_of(timestamps.choose_zones(None, declared))["h"] == "Europe/Paris"
+        finally:
+            timestamps.zone_violations = original
+
+
+@pytest.mark.parametrize(("value", "listed"), [("2001-02-03", False), ("2001-02-03T04:05:06Z", False), ("2001-02-03T04:05:06+00:00", True), ("2001-02-03T04:05Z", True), (" 2001-02-03", True), ("2001-02-03; 2001-02-04", True), ("2001-02-03T04:05:06.000Z", True), ("1994", False)])
+def test_normal_form(spark, value, listed):
+    declared = spark.createDataFrame([("h", "Europe/Paris", "dmy")], "source string, tz_name string, date_order string")
+    parsed = timestamps.parse(spark.createDataFrame([("rt", "a", "h", None, value)], "rec_table string, rec_key string, source string, subject string, value string"), declared)
+    assert (timestamps.not_in_form(timestamps.normalise(parsed, declared.select("source", "tz_name"))).count() == 1) == listed
 
 
 def test_zone_estimate_from_all_stamps(spark):
@@ -171,7 +220,7 @@ def test_zone_estimate_from_all_stamps(spark):
         ny = instants.to_utc(instants.stamps(f"{day} 09:00:00")[0], "America/New_York")[0]
         rows += [("rt", f"a{i}", "h", f"s{i}", f"{day}; {day} 09:00:00"), ("rt", f"b{i}", "k", f"s{i}", f"{day}; {ny:%Y-%m-%dT%H:%M:%SZ}")]
     parsed = timestamps.parse(spark.createDataFrame(rows, "rec_table string, rec_key string, source string, subject string, value string"), declared)
-    assert timestamps.choose_zones(parsed, declared)["h"] == "America/New_York"
+    assert zone_of(timestamps.choose_zones(parsed, declared))["h"] == "America/New_York"
 
 
 def test_lattice_pieces():
