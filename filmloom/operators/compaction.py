@@ -126,7 +126,8 @@ def pack_even(sizes: list[int], target: int) -> list[int]:
 
 
 def plan_bins(manifest: DataFrame, target_bytes: int = TARGET_BYTES, shard_files: int = SHARD_FILES) -> DataFrame:
-    """The manifest with `bin_id`: every file in exactly one bin, no bin of two or more files above target_bytes.
+    """The manifest with `bin_id` and `bin_files`, how many files share the bin: every file in exactly one bin, no bin of two
+    or more files above target_bytes.
 
     A missing or negative size counts as 0; a file above the target has a bin to itself. An empty manifest gives
     an empty plan. Shards are sized by count, so a task never holds more than a bounded number of files.
@@ -136,26 +137,30 @@ def plan_bins(manifest: DataFrame, target_bytes: int = TARGET_BYTES, shard_files
 
     def pack(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "path"], ascending=[False, True], kind="stable")
-        local = pack_even(pdf["size"].tolist(), target_bytes)
-        return pd.DataFrame({"path": pdf["path"], "bin_id": [f"{keys[0]:06d}-{b:06d}" for b in local]})
+        local = pd.Series(pack_even(pdf["size"].tolist(), target_bytes), dtype="int64")
+        return pd.DataFrame({"path": pdf["path"].to_numpy(), "bin_id": [f"{keys[0]:06d}-{b:06d}" for b in local], "bin_files": local.groupby(local).transform("size").to_numpy()})
 
     sized = manifest.select(
         "path", F.greatest(F.coalesce("n_bytes", F.lit(0)), F.lit(0)).alias("size"), F.pmod(F.xxhash64("path"), F.lit(shards)).alias("shard")
     )
-    placed = sized.groupBy("shard").applyInPandas(pack, "path string, bin_id string")
+    placed = sized.groupBy("shard").applyInPandas(pack, "path string, bin_id string, bin_files long")
     return manifest.join(placed, "path")
 
 
 def small_file_dirs(plan: DataFrame, min_files: int = MIN_DIR_FILES, small_bytes: int = SMALL_FILE_BYTES) -> DataFrame:
-    """Directories with at least min_files named files whose mean size is below small_bytes, with their gain in files."""
+    """Directories that the plan consolidates: some named file of them shares its bin with others. Of those, the ones with
+    at least min_files named files whose mean size is below small_bytes, with their files, bins and share of a bin
+    (n_parts, the number of files they are worth after the rewrite)."""
     return (
         plan.where("named")
         .groupBy("store_dir")
         .agg(
             F.count("*").alias("n_files"),
             F.avg("n_bytes").alias("mean_bytes"),
-            F.count_distinct("bin_id").alias("n_bins"),
+            F.count_if(F.col("bin_files") > 1).alias("n_consolidated"),
+            F.sum(F.lit(1.0) / F.col("bin_files")).alias("n_parts"),
         )
+        .where("n_consolidated > 0")
         .where((F.col("n_files") >= min_files) & (F.col("mean_bytes") < small_bytes))
     )
 
@@ -176,9 +181,11 @@ def one_record_per_file(records: DataFrame, path_col: str = "file_path") -> Data
     )
 
 
-def _digest(columns: list[str]) -> Column:
-    """An order-free checksum of a group of rows: the sum of 64-bit row hashes, exact as a decimal."""
-    return F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in columns]).cast("decimal(38,0)")).cast("string")
+def _digest(columns: list[str], only: Column | None = None) -> Column:
+    """An order-free checksum of a group of rows (of those where `only` holds): the sum of 64-bit row hashes, exact as a
+    decimal."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in columns]).cast("decimal(38,0)")
+    return F.sum(row if only is None else F.when(only, row)).cast("string")
 
 
 def _rename(spark: SparkSession, source: str, target: str) -> None:
@@ -205,52 +212,53 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def rewrite(plan: DataFrame, records: DataFrame, out_dir: str, path_col: str = "file_path") -> DataFrame:
+def rewrite(plan: DataFrame, records: DataFrame, out_dir: str, path_col: str = "file_path", allow_missing: bool = True) -> DataFrame:
     """Write the record of every planned file into one file per bin under out_dir and return a report per bin.
 
     Report: bin_id, n_files, n_bytes (of the pages), n_records, n_missing (files without a record), checksum, verified.
-    The rows go to a staging folder, are read back and held, bin by bin, against count and checksum of the planned
-    rows; only then the folder is renamed to `snapshot-<id>` and a `_COMMITTED-<id>` marker is put beside it. A reader that
-    goes by the markers never sees a part. A mismatch removes the staging folder and raises.
+    Every row keeps its file's listed size and checksum (`file_bytes`, `file_checksum`; `record_...` where a record has such
+    a column). The rows go to a staging folder and are read back; bin by bin, count and checksum of the contents are held
+    against the planned rows, and the paths, sizes and checksums of the files against the frozen plan itself, so that a
+    file that was lost, doubled or paired with another's listing on the way is found. Only then the folder is renamed to
+    `snapshot-<id>` and a `_COMMITTED-<id>` marker is put beside it: a reader that goes by the markers never sees a part.
+    A mismatch, or a file without record unless allow_missing, removes the staging folder and raises.
     """
     spark = plan.sparkSession
     snapshot = uuid.uuid4().hex[:12]
     staging, final = f"{out_dir}/_staging-{snapshot}", f"{out_dir}/snapshot-{snapshot}"
-    fields = {f.name: f"record_{f.name}" if f.name in ("bin_id", "__path", "__bytes", "__has") else f.name for f in records.schema.fields}
+    own = ("bin_id", "__path", "__has", "file_bytes", "file_checksum")
+    fields = {f.name: f"record_{f.name}" if f.name in own else f.name for f in records.schema.fields}
     kept = one_record_per_file(records, path_col)
-    joined = plan.select("bin_id", F.col("path").alias("__path"), "n_bytes").join(kept, "__path", "left")
-    flat = joined.select("bin_id", "__path", F.col("n_bytes").alias("__bytes"), F.col("__row").isNotNull().alias("__has"), *[F.col(f"__row.`{name}`").alias(kept_as) for name, kept_as in fields.items()])
+    joined = plan.select("bin_id", F.col("path").alias("__path"), F.col("n_bytes").alias("file_bytes"), F.col("checksum").alias("file_checksum")).join(kept, "__path", "left")
+    flat = joined.select("bin_id", "__path", "file_bytes", "file_checksum", F.col("__row").isNotNull().alias("__has"), *[F.col(f"__row.`{name}`").alias(kept_as) for name, kept_as in fields.items()])
     flat = cut(flat.repartition("bin_id"))  # one task per bin, and what is verified is what is written
-    names = ["__path", *fields.values()]
-    planned = flat.groupBy("bin_id").agg(
-        F.count("*").alias("n_files"),
-        F.coalesce(F.sum("__bytes"), F.lit(0)).alias("n_bytes"),
-        F.count_if("__has").alias("n_records"),
-        _digest_if(names).alias("checksum"),
-    )
-    flat.where("__has").drop("__bytes", "__has").write.partitionBy("bin_id").parquet(staging)
-    read = spark.read.schema(flat.where("__has").drop("__bytes", "__has").schema).parquet(staging)
-    got = read.groupBy("bin_id").agg(F.count("*").alias("got_records"), _digest(names).alias("got_checksum"))
+    names, listed = ["__path", *fields.values()], ["__path", "file_bytes", "file_checksum"]
+    planned = flat.groupBy("bin_id").agg(F.count_if("__has").alias("n_records"), _digest(names, F.col("__has")).alias("checksum"), _digest(listed, ~F.col("__has")).alias("missing_listing"))
+    frozen = plan.groupBy("bin_id").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"), _digest(["path", "n_bytes", "checksum"]).alias("listing"))
+    flat.where("__has").drop("__has").write.partitionBy("bin_id").parquet(staging)
+    read = spark.read.schema(flat.drop("__has").schema).parquet(staging)
+    got = read.groupBy("bin_id").agg(F.count("*").alias("got_records"), _digest(names).alias("got_checksum"), _digest(listed).alias("got_listing"))
+    zero = F.lit(0).cast("decimal(38,0)")
+    sum_of = lambda *c: sum((F.coalesce(F.col(x).cast("decimal(38,0)"), zero) for x in c), zero)
+    same_rows = (F.coalesce("got_records", F.lit(0)) == F.col("n_records")) & F.col("got_checksum").eqNullSafe(F.col("checksum"))
+    same_files = sum_of("got_listing", "missing_listing") == sum_of("listing")
     report = cut(
-        planned.join(got, "bin_id", "left").select(
+        frozen.join(planned, "bin_id", "full").join(got, "bin_id", "full").select(
             "bin_id",
             "n_files",
             "n_bytes",
             "n_records",
             (F.col("n_files") - F.col("n_records")).alias("n_missing"),
             "checksum",
-            ((F.coalesce("got_records", F.lit(0)) == F.col("n_records")) & F.col("got_checksum").eqNullSafe(F.col("checksum"))).alias("verified"),
+            F.coalesce(same_rows & same_files, F.lit(False)).alias("verified"),
         )
     )
     bad = report.where("NOT verified").limit(5).collect()
-    if bad:
+    lost = [] if allow_missing else report.where("n_missing > 0").limit(5).collect()
+    if bad or lost:
         _delete(spark, staging)
-        raise ValueError(f"rewritten bins differ from the plan: {[r.bin_id for r in bad]}")
+        raise ValueError(f"rewritten bins differ from the plan: {[r.bin_id for r in bad]}" if bad else f"files without a record in bins {[r.bin_id for r in lost]}")
     _rename(spark, staging, final)
     _put_text(spark, f"{out_dir}/_tmp-{snapshot}", json.dumps({"snapshot": snapshot, "path": final}))
     _rename(spark, f"{out_dir}/_tmp-{snapshot}", f"{out_dir}/_COMMITTED-{snapshot}")
     return report
-
-
-def _digest_if(columns: list[str]) -> Column:
-    return F.sum(F.when(F.col("__has"), F.xxhash64(*[F.col(f"`{c}`") for c in columns]).cast("decimal(38,0)"))).cast("string")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filmloom.operators import compaction, multivalue, timestamps, units
-from filmloom.session import load, shared_dir
+from filmloom.session import load, staged_path
 
 
 def _store_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -21,7 +19,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_compact(spark: SparkSession, d: str) -> DataFrame:
-    return compaction.rewrite(_store_plan(spark, d), load(spark, d, "rt"), f"{shared_dir(spark)}/compacted-{uuid.uuid4().hex[:8]}")
+    # below the folder of staged tables, so that drop_staged removes the copy as well
+    return compaction.rewrite(_store_plan(spark, d), load(spark, d, "rt"), staged_path(spark, "compacted"))
 
 
 def _amounts(spark: SparkSession, d: str) -> DataFrame:

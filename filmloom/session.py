@@ -46,7 +46,8 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session (tests, one machine) gets a
+    folder of its own; a cluster has no folder that would do, and that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         if not spark.sparkContext.getCheckpointDir():  # set on the session only
@@ -54,6 +55,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="filmloom-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -65,19 +68,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _staged_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/filmloom-staged/{spark.sparkContext.applicationId}"
+
+
+def staged_path(spark: SparkSession, name: str = "table") -> str:
+    """A new path in the shared folder that drop_staged() will remove."""
+    return f"{_staged_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write df as a columnar table in the shared folder and read it from there: a lineage cut that later steps can
     read by column. Removed with the session's other staged tables by drop_staged()."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/filmloom-staged/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = staged_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession) -> None:
-    """Delete all staged tables of this application; results that still read from them must have been written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/filmloom-staged/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all staged tables and checkpoints of this application; results that still read from them must have been
+    written."""
+    for folder in (_staged_root(spark), spark.sparkContext.getCheckpointDir()):  # the latter is this application's own
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if folder == _staged_root(spark):
+            files.delete(path, True)
+        else:
+            for part in files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, "rdd-*")) or []:
+                files.delete(part.getPath(), True)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

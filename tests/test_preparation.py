@@ -56,6 +56,13 @@ def test_compaction(spark, tmp_path):
     back = spark.read.parquet(str(out[0]))
     assert back.count() == 60 and back.select("file_path").distinct().count() == 60
     assert len([p for p in out[0].rglob("*.parquet")]) == len(report)  # one file a bin
+    assert {r.file_path: r.file_checksum for r in back.collect()} == {f[0]: f[3] for f in files}
+    with pytest.raises(ValueError, match="without a record"):
+        compaction.rewrite(plan, records, str(tmp_path / "strict"), allow_missing=False)
+    assert not [p for p in (tmp_path / "strict").iterdir() if p.name.startswith("snapshot")]
+    # without packing (a bin for each file) nothing is consolidated and no directory is listed
+    alone = plan.withColumn("bin_files", F.lit(1))
+    assert compaction.small_file_dirs(alone, min_files=30).count() == 0
     empty = compaction.plan_bins(compaction.freeze_manifest(stored.limit(0), urls))
     assert empty.count() == 0 and compaction.small_file_dirs(empty).count() == 0
 
