@@ -121,8 +121,9 @@ def _add(a: float, b: float) -> float:
     return m + math.log(math.exp(a - m) + math.exp(b - m))
 
 
-def expected(text: str, counts: dict[str, float], total: float, shapes: dict[str, float]) -> dict[str, float]:
-    """Expected number of times each candidate is a value of text (forward-backward over the lattice)."""
+def expected(text: str, counts: dict[str, float], total: float, shapes: dict[str, float]) -> tuple[dict[str, float], float]:
+    """Expected number of times each candidate is a value of text, and the text's log-likelihood (forward-backward over the
+    lattice)."""
     n = len(pieces(text)[0])
     edges = list(_edges(text, counts, total, shapes))
     fwd, bwd = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
@@ -136,7 +137,7 @@ def expected(text: str, counts: dict[str, float], total: float, shapes: dict[str
         p = math.exp(min(0.0, fwd[i] + lp + bwd[j] - fwd[n]))
         if p > 1e-6:
             out[s] = out.get(s, 0.0) + p
-    return out
+    return out, fwd[n]
 
 
 def viterbi(text: str, counts: dict[str, float], total: float, shapes: dict[str, float]) -> list[str]:

@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from filmloom.functions import lattice
 from filmloom.session import cut
 
-ITERATIONS = 3
+MOST_ITERATIONS = 30
+TOLERANCE = 1e-3
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -52,8 +53,11 @@ def field_elements(rows: DataFrame) -> DataFrame:
 _MAY_SPLIT = r'[|;·•,/&\t\n\r+"“«]|(?i)\s(and|und|et|y)\s'
 
 
-def learn(elements: DataFrame, iterations: int = ITERATIONS) -> tuple[DataFrame, dict[str, float], dict[str, dict[str, float]], DataFrame]:
-    """The model of every column: (counts table, totals, shape shares, candidate segments of ambiguous strings)."""
+def learn(elements: DataFrame, most_iterations: int = MOST_ITERATIONS, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict[str, float], dict[str, dict[str, float]], DataFrame]:
+    """The model of every column: (counts table, totals, shape shares, candidate segments of ambiguous strings).
+
+    Rounds end when no column's log-likelihood gains more than `tolerance` of itself.
+    """
     strings = cut(elements.groupBy("field_name", "element").agg(F.count("*").cast("double").alias("w")))
     segments = (
         strings.where(F.col("element").rlike(_MAY_SPLIT))
@@ -78,16 +82,25 @@ def learn(elements: DataFrame, iterations: int = ITERATIONS) -> tuple[DataFrame,
         by.update({s: c / n for s, c in by.items()})
         by |= {lattice.NEW: (once + 0.5) / (n + 1), lattice.RARE: 0.5 / (n + 1)}
     open_segments = segments.where("n > 1")
-    model = seed
-    for _ in range(iterations):
-        totals = {r.field_name: r.t for r in model.groupBy("field_name").agg(F.sum("count").alias("t")).collect()}
+    fixed = plain.unionByName(sure).select("field_name", "value", F.col("w").alias("count"))
+    model, before = seed, {}
+    totals = _totals(model)
+    for _ in range(most_iterations):
         found = with_counts(open_segments, model).mapInPandas(_e_step(totals, shapes), "field_name string, value string, count double")
-        fixed = plain.unionByName(sure).select("field_name", "value", F.col("w").alias("count"))
         model = cut(fixed.unionByName(found).groupBy("field_name", "value").agg(F.sum("count").alias("count")))
-    totals = {r.field_name: r.t for r in model.groupBy("field_name").agg(F.sum("count").alias("t")).collect()}
+        totals = _totals(model)
+        likely = {r.field_name: r["count"] for r in model.where("value IS NULL").collect()}  # one row per column
+        model = model.where("value IS NOT NULL")
+        if all(f in before and v - before[f] <= tolerance * abs(v) for f, v in likely.items()):
+            break
+        before = likely
     return model, totals, shapes, segments
 
 
+def _totals(model: DataFrame) -> dict[str, float]:
+    return {r.field_name: r.t for r in model.where("value IS NOT NULL").groupBy("field_name").agg(F.sum("count").alias("t")).collect()}
+
+
 def with_counts(segments: DataFrame, model: DataFrame) -> DataFrame:
     """One row per string with the counts of its candidates (as many as the string has, whatever the model's size)."""
     return (
@@ -98,21 +111,28 @@ def with_counts(segments: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def _e_step(totals: dict, shapes: dict):
+    """Expected counts of values; under the value NULL the log-likelihood of the column's strings."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: dict = {}
             for field, text, w, counts in zip(pdf["field_name"], pdf["element"], pdf["w"], pdf["counts"], strict=True):
                 by = {c["value"]: c["count"] for c in counts}
-                for value, e in lattice.expected(text, by, totals.get(field, 1.0), shapes.get(field, {})).items():
+                weights, likely = lattice.expected(text, by, totals.get(field, 1.0), shapes.get(field, {}))
+                for value, e in [*weights.items(), (None, likely)]:
                     out[field, value] = out.get((field, value), 0.0) + w * e
             yield pd.DataFrame([(f, v, c) for (f, v), c in out.items()], columns=["field_name", "value", "count"])
 
     return run
 
 
-def split(elements: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """Elements with `values`, the list of values of each, in order. An element without delimiters is its own value."""
-    model, totals, shapes, segments = learn(elements, iterations)
+def split(elements: DataFrame, most_iterations: int = MOST_ITERATIONS) -> DataFrame:
+    """Elements with `values`, the list of values of each, in order. An element without delimiters is its own value.
+
+    The model is joined to the candidates by value: one that is a candidate of very many strings is a hot key of their side
+    only, which an adaptive join splits.
+    """
+    model, totals, shapes, segments = learn(elements, most_iterations)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -258,3 +258,19 @@ def test_packed_fields(spark):
     assert [got["x3"][k][0] for k in (1, 2, 3)] == ["Korea, Republic of", "France", "India"]
     assert len(got["x4"]) == 1 and not got["x4"][1][1] and "x5" not in got and "x6" not in got and len(got["x7"]) == 400
     assert multivalue.one_row_per_value(multivalue.split(multivalue.field_elements(df.drop("element").limit(0)))).count() == 0
+
+
+def test_rounds_end_when_the_likelihood_does(spark, monkeypatch):
+    """The number of rounds follows the data, and every round makes the column likelier."""
+    rng = random.Random(3)
+    base = ["Ann Lee", "Bo Cho", "Cy Dun and Sons", "Eve Fox"]
+    rows = [("t", str(i), "c", [rng.choice(base)]) for i in range(60)] + [("t", f"x{i}", "c", [", ".join(rng.sample(base, 2))]) for i in range(40)]
+    rounds: list = []
+    original = multivalue._e_step
+    monkeypatch.setattr(multivalue, "_e_step", lambda *a: rounds.append(1) or original(*a))
+    elements = multivalue.field_elements(spark.createDataFrame(rows, "rec_table string, rec_key string, field_name string, elements array<string>"))
+    multivalue.learn(elements)
+    assert 2 <= len(rounds) < multivalue.MOST_ITERATIONS
+    counts, shapes = {"Ann Lee": 30.0, "Bo Cho": 30.0}, {lattice.shape("Ann Lee"): 1.0, lattice.NEW: 0.01, lattice.RARE: 1e-4}
+    weights, likely = lattice.expected("Ann Lee, Bo Cho", counts, 60.0, shapes)
+    assert likely < 0 and weights["Ann Lee"] == pytest.approx(weights["Bo Cho"]) and sum(weights.values()) == pytest.approx(2, abs=0.01)
