@@ -19,15 +19,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filmloom.functions import lattice
+from filmloom.functions.bits import bit_field
 from filmloom.session import cut
 
 MOST_ITERATIONS = 30
 TOLERANCE = 1e-3
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _candidates(texts: pd.Series) -> pd.Series:
-    return texts.map(lattice.candidates)
+@F.pandas_udf(T.LongType())
+def _whole_key(texts: pd.Series) -> pd.Series:
+    return texts.map(lattice.whole_key).astype("Int64")
 
 
 @F.pandas_udf(T.StringType())
@@ -52,6 +53,8 @@ def field_elements(rows: DataFrame) -> DataFrame:
 # Everything that can part two values or quote one; strings without any of these are single values.
 _MAY_SPLIT = r'[|;·•,/&\t\n\r+"“«]|(?i)\s(and|und|et|y)\s'
 
+_MANY = rf"(?s)(?:(?:{_MAY_SPLIT}).+?){{{lattice.SHORT}}}"
+
 
 def learn(elements: DataFrame, most_iterations: int = MOST_ITERATIONS, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict[str, float], dict[str, dict[str, float]], DataFrame]:
     """The model of every column: (counts table, totals, shape shares, candidate segments of ambiguous strings).
@@ -59,9 +62,16 @@ def learn(elements: DataFrame, most_iterations: int = MOST_ITERATIONS, tolerance
     Rounds end when no column's log-likelihood gains more than `tolerance` of itself.
     """
     strings = cut(elements.groupBy("field_name", "element").agg(F.count("*").cast("double").alias("w")))
+    # runs of many pieces count where they are a whole string elsewhere: known by a bit field of fixed size
+    wholes = bit_field(strings.where(F.col("element").rlike(_MANY)).select(_whole_key("element").alias("key")))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def candidates(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: lattice.candidates(t, wholes))
+
     segments = (
         strings.where(F.col("element").rlike(_MAY_SPLIT))
-        .withColumn("candidates", _candidates("element"))
+        .withColumn("candidates", candidates("element"))
         .select("field_name", "element", "w", F.size("candidates").alias("n"), F.explode("candidates").alias("value"))
     )
     segments = cut(segments)

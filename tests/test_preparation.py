@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from filmloom.functions import instants, lattice, money
+from filmloom.functions import bits, instants, lattice, money
 from filmloom.operators import compaction, multivalue, timestamps, units
 
 
@@ -239,7 +239,7 @@ def test_value_of_many_pieces_stays_whole():
     """A value with four or more delimiters inside is kept, alone and beside another, where the counts say so."""
     value = "Bonaire, Saba, Statia, Aruba, Sint Eustatius and Curacao"
     counts, shapes = {value: 50.0, "France": 50.0}, {lattice.shape(value): 0.5, lattice.shape("France"): 0.5, lattice.NEW: 0.01, lattice.RARE: 1e-4}
-    assert value in lattice.candidates(value) and lattice.viterbi(value, counts, 100.0, shapes) == [value]
+    assert value in lattice.candidates(value) and lattice.whole_key("a, b") is None and lattice.viterbi(value, counts, 100.0, shapes) == [value]
     assert lattice.viterbi(f"{value}; France", counts, 100.0, shapes) == [value, "France"]
 
 
@@ -274,3 +274,17 @@ def test_rounds_end_when_the_likelihood_does(spark, monkeypatch):
     counts, shapes = {"Ann Lee": 30.0, "Bo Cho": 30.0}, {lattice.shape("Ann Lee"): 1.0, lattice.NEW: 0.01, lattice.RARE: 1e-4}
     weights, likely = lattice.expected("Ann Lee, Bo Cho", counts, 60.0, shapes)
     assert likely < 0 and weights["Ann Lee"] == pytest.approx(weights["Bo Cho"]) and sum(weights.values()) == pytest.approx(2, abs=0.01)
+
+
+def test_long_candidates_are_the_whole_strings_of_the_column(spark):
+    """Of the runs of many pieces exactly those that are a whole string elsewhere are candidates (and a few by chance)."""
+    rng = random.Random(1)
+    names = [f"{a}{b}" for a in "KLMNP" for b in ("aro", "ibe", "odu", "ent")]
+    wholes = [", ".join(rng.sample(names, rng.randrange(5, 8))) for _ in range(30)]
+    texts = [f"{rng.choice(names)}; {w}; {rng.choice(names)}" for w in wholes] + [f'"{wholes[0]}"; {wholes[1]}']
+    field = bits.bit_field(spark.createDataFrame([(lattice.whole_key(w),) for w in [*wholes, "Karo, Libe"]], "key long"))
+    for t, w in zip(texts, wholes, strict=False):
+        long = {c for c in lattice.candidates(t, field) if len(lattice.pieces(c)[0]) > lattice.SHORT}
+        assert long >= {w, lattice.segment(t, 0, len(lattice.pieces(t)[0]))} and len(long) <= 3
+    assert wholes[1] in lattice.candidates(texts[-1], field)
+    assert len(lattice.candidates("; ".join(["France"] * 5000), field)) <= 10  # linear in the pieces, not square
