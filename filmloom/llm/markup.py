@@ -2,13 +2,15 @@
 
 Headings come out as "# ", list items as "- " or "1. ", code between ``` fences
 (inline code between backticks) and formulas between $ or $$. HTML is parsed to a
-tree; of whole pages, the main content is taken by composite text density: every
-node's link-adjusted characters per tag, the subtree with the largest sum of its
-children's densities, and in it the nodes not below the least density on the path
-to the body. A fragment without page furniture is content as a whole.
+tree, of every text that has any: every node gets its composite text density (its
+link-adjusted characters per tag) and the sum of its children's; of a whole page the
+subtree with the largest sum is the content, a fragment is the subtree itself; in it
+the blocks below the least density on the path to the body go if they are page
+furniture or links for the most part, in a whole page any such block.
 
 The shape of the marks decides what is markup: `<`, `*`, `#`, `&`, `_`, `$` and
-brackets as ordinary characters stay. List markers alone are no markup.
+brackets as ordinary characters stay. List markers alone are no markup. Trees are
+walked without recursion, so no depth of nesting is too much.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ _MD_TABLE = re.compile(r"^\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|
 _W_LINK = re.compile(r"\[\[([^\[\]|]*)(?:\|([^\[\]]*))?\]\]")
 _W_EXT = re.compile(r"\[(?:https?|ftp)://[^\s\]]+(?:\s+([^\[\]]*))?\]")
 _W_QUOTE = re.compile(r"'{5}|'{2,3}")
-_W_BOLD = re.compile(r"'{2,5}(?=\S).{0,2000}?(?<=\S)'{2,5}", re.S)
+_W_RUN = re.compile(r"'{2,}")
 _W_HEAD = re.compile(r"^(={2,6})[ \t]*([^=\n]+?)[ \t]*\1[ \t]*$", re.M)
 _TEMPLATE = re.compile(r"\{\{([^{}]*)\}\}")
 _W_TABLE = re.compile(r"^\{\|.*?^\|\}[ \t]*$", re.M | re.S)
@@ -69,6 +71,16 @@ _TEX_HEAD = re.compile(r"\\(chapter|(?:sub){0,2}section|paragraph)\*?\{([^{}]*)\
 _HOLD = re.compile("\ue000(\\d+)\ue001")
 
 
+def _has_wiki_emphasis(text: str) -> bool:
+    """Whether some quotes open (a character follows) and others after them close (one is before), however far apart."""
+    opened = False
+    for m in _W_RUN.finditer(text):
+        if opened and text[m.start() - 1] not in " \t\n\r\u00a0":
+            return True
+        opened = opened or not text[m.end() : m.end() + 1].isspace() and m.end() < len(text)
+    return False
+
+
 def kinds_of(text: str) -> list[str]:
     """Which markup the text holds: of html, entity, markdown, wiki, latex; [] for ordinary text."""
     found = []
@@ -92,7 +104,7 @@ def kinds_of(text: str) -> list[str]:
     if (
         ("[[" in text and _W_LINK.search(text))
         or ("{{" in text)
-        or ("''" in text and _W_BOLD.search(text))
+        or ("''" in text and _has_wiki_emphasis(text))
         or ("==" in text and _W_HEAD.search(text))
         or ("[http" in text and _W_EXT.search(text))
         or ("{|" in text and _W_TABLE.search(text))
@@ -105,12 +117,15 @@ def kinds_of(text: str) -> list[str]:
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "kind", "link_chars", "link_tags", "tag", "tags", "total")
+    """An element: its tag, the text of its tag (kind), children, and what is measured of its subtree. marks, of the root
+    only: how many tags and comments the text has."""
+
+    __slots__ = ("chars", "children", "density", "kind", "link_chars", "link_tags", "marks", "tag", "tags", "total")
 
     def __init__(self, tag: str, kind: str = ""):
         self.tag, self.kind = tag, kind
         self.children: list[Node | str] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.marks = 0
         self.density = self.total = 0.0
 
 
@@ -126,6 +141,7 @@ def parse_html(text: str) -> Node:
             stack[-1].children.append(text[at : m.start()])
         at = m.end()
         token = m.group(0)
+        root.marks += 1
         if token.startswith("<!"):
             continue
         tag = _TAG_NAME.match(token).group(1).lower()
@@ -149,64 +165,64 @@ def parse_html(text: str) -> Node:
     return root
 
 
-def measure(node: Node, in_link: bool = False) -> None:
-    """Characters, tags, link characters and link tags of every subtree."""
-    link = in_link or node.tag == "a"
-    for c in node.children:
-        if isinstance(c, str):
-            n = len(c.strip())
-            node.chars += n
-            node.link_chars += n if link else 0
-        elif c.tag not in DROPPED:
-            measure(c, link)
-            node.chars += c.chars
-            node.tags += c.tags + 1
-            node.link_chars += c.link_chars
-            node.link_tags += c.link_tags + (c.tag == "a")
-
-
-def densities(node: Node, body: Node) -> None:
-    """Composite text density of every node and the sum of its children's."""
+def _below(node: Node) -> list[tuple[Node, Node | None, bool]]:
+    """(node, parent, whether it is in a link) of a subtree, parents first; elements that hold no text of the page left out."""
+    order: list[tuple[Node, Node | None, bool]] = [(node, None, node.tag == "a")]
+    for n, _, linked in order:
+        order += [(c, n, linked or c.tag == "a") for c in n.children if not isinstance(c, str) and c.tag not in DROPPED]
+    return order
+
+
+def measure(root: Node) -> list[tuple[Node, Node | None, bool]]:
+    """Characters, tags, link characters and link tags of every subtree; the nodes, parents first."""
+    order = _below(root)
+    for node, parent, linked in reversed(order):
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        node.chars += own
+        node.link_chars += own if linked else 0
+        if parent is not None:
+            parent.chars += node.chars
+            parent.tags += node.tags + 1
+            parent.link_chars += node.link_chars
+            parent.link_tags += node.link_tags + (node.tag == "a")
+    return order
+
+
+def _density(node: Node, body: Node) -> float:
+    """Composite text density: characters per tag, the less the more of them are links."""
     c, t, lc, lt = max(node.chars, 1), max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
     other = max(node.chars - node.link_chars, 1)
     base = math.log(c / other * node.link_chars + body.link_chars / max(body.chars, 1) * node.chars + math.e)
-    node.density = node.chars / t * math.log(max(c / lc * t / lt, 1.0) + 1e-9) / math.log(max(base, 1.0) + 1e-9) if base > 1.0 + 1e-6 else node.chars / t * math.log(c / lc * t / lt + 1.0)
-    node.total = 0.0
-    for x in node.children:
-        if not isinstance(x, str) and x.tag not in DROPPED:
-            densities(x, body)
-            node.total += x.density
+    adjusted = c / lc * t / lt
+    return node.chars / t * (math.log(max(adjusted, 1.0) + 1e-9) / math.log(base + 1e-9) if base > 1.0 + 1e-6 else math.log(adjusted + 1.0))
 
 
-def main_content(root: Node) -> tuple[Node, float]:
-    """The subtree with the largest density sum and the least density a node in it must have; (root, -inf) for a
-    fragment."""
+def main_content(root: Node) -> tuple[Node, float, bool]:
+    """The subtree with the largest sum of its children's densities, the least density on its path to the body, and whether
+    the text is a whole page. A fragment (neither html nor body nor page furniture) is the subtree itself."""
+    order = measure(root)
     tags: dict[str, Node] = {}
-    path: dict[int, Node | None] = {id(root): None}
-    order = [root]
-    for n in order:
+    for n, _, _ in order:
         tags.setdefault(n.tag, n)
-        for c in n.children:
-            if not isinstance(c, str):
-                path[id(c)] = n
-                order.append(c)
-    if not FURNITURE & tags.keys():
-        return root, -math.inf
+    page = bool(FURNITURE & tags.keys())
     body = tags.get("body") or tags.get("html") or root
-    measure(root)
-    densities(root, body)
-    inside, order = [body], [body]
-    for n in order:
-        for c in n.children:
-            if not isinstance(c, str) and c.tag not in DROPPED:
-                inside.append(c)
-                order.append(c)
-    best = max(inside, key=lambda n: n.total)
+    parents = {id(n): p for n, p, _ in order}
+    for n, p, _ in order:
+        n.density = _density(n, body)
+        if p is not None:
+            p.total += n.density
+    inside = {id(body)}
+    best = body
+    for n, p, _ in order:
+        if p is not None and id(p) in inside:
+            inside.add(id(n))
+            if page and n.total > best.total:
+                best = n
     least, at = best.density, best
     while at is not None and at is not body:
         least = min(least, at.density)
-        at = path[id(at)]
-    return best, min(least, body.density)
+        at = parents[id(at)]
+    return (best if page else root), min(least, body.density), page
 
 
 class Holder:
@@ -220,9 +236,7 @@ class Holder:
         return f"\ue000{len(self.kept) - 1}\ue001"
 
     def release(self, text: str) -> str:
-        for _ in range(4):
-            if "\ue000" not in text:
-                break
+        while _HOLD.search(text):  # what is kept holds only what was kept before it
             text = _HOLD.sub(lambda m: self.kept[int(m.group(1))] if int(m.group(1)) < len(self.kept) else "", text)
         return text
 
@@ -237,19 +251,41 @@ def _unescape(t: str) -> str:
     return html.unescape(html.unescape(t)) if "&" in t else t
 
 
-def render(node: Node, keep: Holder, least: float = -math.inf, depth: int = 0) -> str:
-    out: list[str] = []
-    number = 0
-    for c in node.children:
+_KEPT = frozenset("li h1 h2 h3 h4 h5 h6 pre br hr".split())
+_SPACED = frozenset("p blockquote ul ol dl table div section article".split())
+
+
+def _is_dropped(c: Node, least: float, page: bool) -> bool:
+    if c.tag in DROPPED or c.tag in ("ref", "references"):
+        return True
+    if c.tag not in BLOCK or c.tag in _KEPT or not c.chars or c.density >= least:
+        return False
+    return page or c.tag in FURNITURE or 2 * c.link_chars > c.chars
+
+
+def render(node: Node, keep: Holder, least: float = -math.inf, page: bool = False) -> str:
+    """The text of a subtree with its structure, without blocks of too low a density. Headings, items and cells are put
+    together when they end; everything else goes to the piece it stands in."""
+    top: list[str] = []
+    # node, next child, where its text goes, items so far
+    frames: list[list] = [[node, 0, top, 0]]
+    while frames:
+        frame = frames[-1]
+        node, at, out, _ = frame
+        if at == len(node.children):
+            frames.pop()
+            if frames:
+                _close(node, out, frames[-1])
+            continue
+        frame[1] += 1
+        c = node.children[at]
         if isinstance(c, str):
             out.append(c)
             continue
         tag = c.tag
-        if tag in DROPPED or tag in ("ref", "references") or (least > -math.inf and tag in BLOCK and c.chars and c.density < least and tag not in ("li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "br", "hr")):
+        if _is_dropped(c, least, page):
             continue
-        if depth > 200:
-            out.append(_flat(c))
-        elif tag in ("pre", "syntaxhighlight", "source") and c.children:
+        if tag in ("pre", "syntaxhighlight", "source") and c.children:
             out.append(keep.code(_unescape(_flat(c))))
         elif tag in ("code", "kbd", "samp", "tt"):
             body = _unescape(_flat(c))
@@ -263,22 +299,37 @@ def render(node: Node, keep: Holder, least: float = -math.inf, depth: int = 0) -
         elif tag == "img":
             alt = re.search(r"\balt\s*=\s*[\"']([^\"']*)", c.kind)
             out.append(alt.group(1) if alt else "")
+        elif tag in _OWN_PIECE:
+            frames.append([c, 0, [], 0])
         else:
-            inner = render(c, keep, least, depth + 1)
-            if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                out.append(f"\n\n{'#' * int(tag[1])} {' '.join(inner.split())}\n\n")
-            elif tag == "li":
-                number += 1
-                out.append(f"\n{f'{number}.' if node.tag == 'ol' else '-'} {inner.strip()}\n")
-            elif tag in ("td", "th"):
-                out.append(f"{inner.strip()}\t")
-            elif tag in ("p", "blockquote", "ul", "ol", "dl", "table", "div", "section", "article"):
-                out.append(f"\n\n{inner}\n\n")
-            elif tag in BLOCK:
-                out.append(f"\n{inner}\n")
-            else:
-                out.append(inner)
-    return "".join(out)
+            out.append("\n\n" if tag in _SPACED else "\n" if tag in BLOCK else "")
+            frames.append([c, 0, out, 0])
+    return "".join(top)
+
+
+_OWN_PIECE = frozenset("h1 h2 h3 h4 h5 h6 li td th".split())
+
+
+def _close(c: Node, out: list[str], parent: list) -> None:
+    if c.tag not in _OWN_PIECE:
+        out.append("\n\n" if c.tag in _SPACED else "\n" if c.tag in BLOCK else "")
+        return
+    inner = "".join(out)
+    if c.tag == "li":
+        parent[3] += 1
+        parent[2].append(f"\n{f'{parent[3]}.' if parent[0].tag == 'ol' else '-'} {inner.strip()}\n")
+    elif c.tag in ("td", "th"):
+        parent[2].append(f"{inner.strip()}\t")
+    else:
+        parent[2].append(f"\n\n{'#' * int(c.tag[1])} {' '.join(inner.split())}\n\n")
+
+
+def _until_none(pattern: re.Pattern, to, text: str) -> str:
+    """Replaces the innermost matches until there are none, however deep they are nested."""
+    n = 1
+    while n:
+        text, n = pattern.subn(to, text)
+    return text
 
 
 def _flat(node: Node) -> str:
@@ -314,10 +365,7 @@ def _template(m: re.Match) -> str:
 def _wiki(t: str) -> str:
     t = _MAGIC.sub("", t)
     t = _W_TABLE.sub(lambda m: "\n".join(" \t".join(c.strip() for c in re.split(r"\|\||!!", line.lstrip("|! "))) for line in m.group(0).split("\n")[1:-1] if not line.startswith("|-")), t)
-    for _ in range(6):
-        t, n = _TEMPLATE.subn(_template, t)
-        if not n:
-            break
+    t = _until_none(_TEMPLATE, _template, t)
     t = t.replace("{{", "").replace("}}", "")
 
     def link(m: re.Match) -> str:
@@ -326,10 +374,7 @@ def _wiki(t: str) -> str:
             return ""
         return (m.group(2).split("|")[-1] if m.group(2) is not None else target).strip()
 
-    for _ in range(3):
-        t, n = _W_LINK.subn(link, t)
-        if not n:
-            break
+    t = _until_none(_W_LINK, link, t)
     t = _W_EXT.sub(lambda m: m.group(1) or "", t)
     t = _W_HEAD.sub(lambda m: f"\n{'#' * len(m.group(1))} {m.group(2)}\n", t)
     t = _W_QUOTE.sub("", t)
@@ -341,8 +386,7 @@ def _markdown(t: str, keep: Holder) -> str:
     t = _MD_LINK.sub(lambda m: m.group(2), t)
     t = _SETEXT.sub(lambda m: f"{'#' if m.group(2)[0] == '=' else '##'} {m.group(1)}", t)
     t = _MD_HEAD.sub(lambda m: f"{m.group(1)} {m.group(2)}", t)
-    for _ in range(2):
-        t = _BOLD.sub(lambda m: m.group(2) or m.group(3), t)
+    t = _until_none(_BOLD, lambda m: m.group(2) or m.group(3), t)
     t = _ITALIC.sub(lambda m: m.group(1) or m.group(2), t)
     t = _STRIKE.sub(r"\1", t)
     t = _MD_TABLE.sub("", t)
@@ -366,10 +410,7 @@ def _latex(t: str, keep: Holder) -> str:
         return "\n- "
 
     t = re.sub(r"\\(?:begin|end)\{(?:itemize|enumerate|description)\}|\s*\\item\b(?:\[[^\]]*\])?\s*", item, t)
-    for _ in range(3):
-        t, n = _TEX_ARG.subn(r"\1", t)
-        if not n:
-            break
+    t = _until_none(_TEX_ARG, r"\1", t)
     t = re.sub(r"\\(?:href)\{[^{}]*\}\{([^{}]*)\}", r"\1", t)
     t = re.sub(r"\\(?:cite\w*|label|ref|footnote|vspace\*?|hspace\*?|usepackage|documentclass|bibliography\w*)(?:\[[^\]]*\])?\{[^{}]*\}", "", t)
     t = re.sub(r"\\(?:begin|end)\{[^{}]*\}", "\n", t)
@@ -397,9 +438,8 @@ def to_text(text: str | None) -> tuple[str | None, list[str]]:
         t = re.sub(r"\\\((.+?)\\\)", lambda m: keep.formula(_unescape(m.group(1)), False), t, flags=re.S)
         t = _MATH.sub(lambda m: keep.formula(_unescape(m.group(1) or m.group(2)), m.group(1) is not None), t)
     if "html" in kinds:
-        root = parse_html(t)
-        node, least = main_content(root)
-        t = render(node, keep, least)
+        node, least, page = main_content(parse_html(t))
+        t = render(node, keep, least, page)
     if "wiki" in kinds:
         t = _wiki(t)
     if "latex" in kinds:

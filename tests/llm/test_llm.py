@@ -166,6 +166,27 @@ def test_density_takes_the_article():
     assert "article itself" in clean and "More of it" in clean and "link 7" not in clean and "imprint" not in clean
 
 
+@pytest.mark.parametrize("depth", [1500, 20_000])
+def test_any_depth_of_nesting(depth):
+    for opening, closing in (("<div>", "</div>"), ("<ul><li>", "</li></ul>"), ("<b>", "</b>"), ("<div>", "")):
+        assert "core" in markup.to_text("<html><body>" + opening * depth + "core" + closing * depth)[0]
+    assert markup.to_text("{{nowrap|" * 200 + "core" + "}}" * 200)[0] == "core" and markup.to_text("\\emph{" * 60 + "core" + "}" * 60)[0] == "core"
+
+
+def test_emphasis_of_any_length():
+    text = "A " + "''" + "long words " * 1000 + "end''" + " of it"
+    assert markup.to_text(text)[1] == ["wiki"] and "''" not in markup.to_text(text)[0] and markup.to_text("it's '' so") == ("it's '' so", [])
+
+
+def test_density_decides_in_fragments():
+    """A block of links in a fragment goes by its density; without the density it would stay. Lists of text stay."""
+    links = "<div>" + "".join(f'<a href="/{i}">more {i}</a> ' for i in range(25)) + "</div>"
+    text = "<h2>Plot</h2><p>" + "A long paragraph that tells the story. " * 8 + "</p>" + links + "<ul><li>Ann Smith</li><li>Bo Jones</li></ul>"
+    clean, kinds = markup.to_text(text)
+    assert kinds == ["html"] and "more 7" not in clean and "tells the story" in clean and "## Plot" in clean and "- Ann Smith" in clean
+    assert "more 7" in markup.render(markup.parse_html(text), markup.Holder())
+
+
 def test_convert_table(spark):
     rows = spark.createDataFrame([("a", None, 1), ("b", "", 1), ("c", "<b>x</b>", 1), ("c", "<b>x</b>", 1), ("d", "y" * 200_000 + "<br>z", 1)], "k string, value string, kinds int")
     got = [(r.k, r.clean if r.clean is None else r.clean[-3:], list(r.kinds)) for r in markup.convert(rows).orderBy("k").collect()]
