@@ -22,6 +22,8 @@ from filmloom.session import stage
 
 SEED = 20
 BUCKET_TEXTS = 20_000
+MOST_TARGETS = 1000
+MOST_PATTERNS = 100_000
 
 
 class Flow:
@@ -97,24 +99,36 @@ def solve(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
     return {a: flow.edges[e ^ 1][1] for a, e in arcs.items() if flow.edges[e ^ 1][1] > 0}
 
 
-def distinct_texts(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(text_id, sources, members, n_tokens): every distinct text with the set of its sources and, per source, its least
-    document id. Texts without tokens and rows without a source are left out."""
+def targets_of(targets: DataFrame) -> dict[str, tuple[float, int]]:
+    """Share and most repetitions of each source. The table is small and does not grow; more than MOST_TARGETS rows are an
+    error."""
+    rows = targets.select("source", "target_share", "max_repeats").where("source IS NOT NULL").limit(MOST_TARGETS + 1).collect()
+    if len(rows) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
+    return {r.source: (float(r.target_share or 0), int(r.max_repeats or 1)) for r in rows}
+
+
+def distinct_texts(documents: DataFrame, wanted: list[str], path: str = VOCABULARY) -> DataFrame:
+    """(text_id, members, n_tokens, all_tokens, sources): every distinct text with the wanted sources it occurs in and, per
+    source, its least document id. Other sources are folded into none: they count in all_tokens only, so that patterns
+    are sets of wanted sources. Texts without tokens and rows without a source are left out."""
     known = documents.select("doc_id", "source", "text", fingerprint().alias("text_id")).where("text IS NOT NULL AND source IS NOT NULL")
+    known = known.withColumn("source", F.when(F.col("source").isin(wanted), F.col("source")))
     sized = measure(known, ["doc_id", "source", "text_id"], path)
     per = sized.where("n_tokens > 0").groupBy("text_id", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.count("*").alias("copies"))
     return per.groupBy("text_id").agg(
-        F.array_sort(F.collect_list(F.struct("source", "doc_id"))).alias("members"), F.max("n_tokens").alias("n_tokens"), F.sum(F.col("n_tokens") * F.col("copies")).alias("all_tokens")
+        F.array_sort(F.collect_list(F.when(F.col("source").isNotNull(), F.struct("source", "doc_id")))).alias("members"), F.max("n_tokens").alias("n_tokens"), F.sum(F.col("n_tokens") * F.col("copies")).alias("all_tokens")
     ).withColumn("sources", F.col("members.source"))
 
 
-def plan(texts: DataFrame, targets: DataFrame) -> tuple[dict, dict, dict, int]:
-    """(flow, patterns, targets, total size). Patterns are sets of the sources of the small targets table and `other`."""
-    wanted = {r.source: (float(r.target_share or 0), int(r.max_repeats or 1)) for r in targets.select("source", "target_share", "max_repeats").limit(10_000).collect() if r.source}
-    rows = texts.groupBy("sources").agg(F.sum("n_tokens").alias("t"), F.sum("all_tokens").alias("a")).collect()
+def plan(texts: DataFrame, wanted: dict[str, tuple[float, int]]) -> tuple[dict, dict, int]:
+    """(flow, patterns, total size). Patterns are sets of wanted sources; more than MOST_PATTERNS are an error."""
+    rows = texts.groupBy("sources").agg(F.sum("n_tokens").alias("t"), F.sum("all_tokens").alias("a")).limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} sets of sources")
     patterns = {tuple(r.sources): int(r.t) for r in rows}
     total = sum(int(r.a) for r in rows)
-    return solve(patterns, wanted, total), patterns, wanted, total
+    return solve(patterns, wanted, total), patterns, total
 
 
 def choose(texts: DataFrame, flow: dict, patterns: dict, seed: int = SEED) -> DataFrame:
@@ -132,7 +146,7 @@ def choose(texts: DataFrame, flow: dict, patterns: dict, seed: int = SEED) -> Da
     schema = T.StructType(
         [T.StructField("sources", T.ArrayType(T.StringType())), T.StructField("source", T.StringType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("length", T.LongType())]
     )
-    table = F.broadcast(spark.createDataFrame(stretches, schema))  # one row per pattern and source
+    table = F.broadcast(spark.createDataFrame(stretches, schema))  # one row per pattern and source, checked in plan()
     order = texts.withColumn("rank", F.xxhash64(F.lit(seed), "text_id"))
     n = order.count()
     buckets = max(1, -(-n // BUCKET_TEXTS))
@@ -151,16 +165,18 @@ def choose(texts: DataFrame, flow: dict, patterns: dict, seed: int = SEED) -> Da
 
 def mix(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, seed: int = SEED) -> DataFrame:
     """The texts of the mix with how often each is used for which source. Empty tables give an empty mix."""
-    texts = stage(distinct_texts(documents, path))
-    flow, patterns, _, _ = plan(texts, targets)
+    wanted = targets_of(targets)
+    texts = stage(distinct_texts(documents, sorted(wanted), path))
+    flow, patterns, _ = plan(texts, wanted)
     return choose(texts, flow, patterns, seed)
 
 
 def shares(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, seed: int = SEED) -> DataFrame:
     """Per source: target_share, quota_tokens, mix_tokens, its share of the mix as large as all documents (share_of_wanted)
     and of the mix as it came out (actual_share), n_uses, and whether its share is within reach."""
-    texts = stage(distinct_texts(documents, path))
-    flow, patterns, wanted, total = plan(texts, targets)
+    wanted = targets_of(targets)
+    texts = stage(distinct_texts(documents, sorted(wanted), path))
+    flow, patterns, total = plan(texts, wanted)
     got: dict[str, int] = {}
     for (_, s), amount in flow.items():
         got[s] = got.get(s, 0) + amount

@@ -2,9 +2,11 @@
 
 Texts become points in few dimensions (hashed token vectors), points become keys
 on a Hilbert curve, and the texts are range-sorted by key, so that neighbours in a
-container are alike. Each range is packed as it streams by, block after block:
-larger texts first, each into the open container it fills best, and containers that
-are nearly full are closed. A text is split only if it alone exceeds a container;
+container are alike. Each range is packed as it streams by, in blocks of a few
+containers: larger texts first, each into the open container it fills best, and
+containers that are nearly full are closed. Small blocks and few open containers
+keep neighbours together, at the price of a little unused space (fill_report tells
+both). A text is split only if it alone exceeds a container;
 its full pieces are containers of their own and its rest is packed like a text.
 """
 
@@ -25,8 +27,8 @@ from filmloom.session import stage
 CAPACITY = 2048
 BITS = 12
 RANGE_TOKENS = 8_000_000
-BLOCK_CONTAINERS = 256
-OPEN_CONTAINERS = 128
+BLOCK_CONTAINERS = 8
+OPEN_CONTAINERS = 8
 FULL = 0.985
 
 
@@ -116,17 +118,21 @@ def along_curve(documents: DataFrame, key: str = "doc_id", path: str = VOCABULAR
 
 
 def pack(documents: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, path: str = VOCABULARY) -> DataFrame:
-    """One row per piece: container_id, key, piece, start_token, n_tokens, n_pieces.
+    """One row per piece: container_id, key, piece, start_token, n_tokens, n_pieces, curve (the text's place on the curve).
 
     Every text with a token is in the result exactly once, or once per piece; texts without tokens need no container and
     are left out. Copies share a curve position; the range sort parts them by key, so no range grows with them.
     """
-    placed = stage(along_curve(documents, key, path).where("n_tokens > 0"))
+    return pack_placed(stage(along_curve(documents, key, path).where("n_tokens > 0")), key, capacity)
+
+
+def pack_placed(placed: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+    """pack() of texts (key, n_tokens, curve) that have their place already."""
     total = placed.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).collect()[0].t
     ranges = max(1, -(-int(total) // RANGE_TOKENS))
     kind = dict(placed.dtypes)[key]
-    schema = f"container_id string, `{key}` {kind}, piece int, start_token long, n_tokens long, n_pieces int"
-    columns = ["container_id", key, "piece", "start_token", "n_tokens", "n_pieces"]
+    schema = f"container_id string, `{key}` {kind}, piece int, start_token long, n_tokens long, n_pieces int, curve long"
+    columns = ["container_id", key, "piece", "start_token", "n_tokens", "n_pieces", "curve"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = Packer(capacity, f"{TaskContext.get().partitionId():06d}")
@@ -144,11 +150,11 @@ def pack(documents: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, pa
 
         for pdf in batches:
             out = []
-            for k, n in zip(pdf[key], pdf["n_tokens"], strict=True):
+            for k, n, at in zip(pdf[key], pdf["n_tokens"], pdf["curve"], strict=True):
                 sizes = pieces_of(int(n), capacity)
                 start = 0
                 for p, size in enumerate(sizes):
-                    rows[serial] = (k, p, start, size, len(sizes))
+                    rows[serial] = (k, p, start, size, len(sizes), at)
                     block.append((size, serial))
                     serial += 1
                     start += size
@@ -166,12 +172,19 @@ def pack(documents: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, pa
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: containers, pieces, tokens, mean fill, and how many containers a packing cannot do without."""
-    by = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("pieces"))
-    return by.agg(
+    """One row: containers, pieces, tokens, mean fill, how many containers a packing cannot do without, and how near the
+    texts of a container are: their mean distance from its middle along the curve, and that from the middle of all texts
+    (what an order by chance comes to), as shares of the curve."""
+    share = F.col("curve") / float(1 << (BITS * DIMENSIONS))
+    by = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("pieces"), F.avg(share).alias("middle"))
+    all_ = packed.agg(F.avg(share).alias("middle_of_all"))  # one row
+    near = packed.join(by.select("container_id", "middle"), "container_id").crossJoin(F.broadcast(all_))
+    distance = near.agg(F.avg(F.abs(share - F.col("middle"))).alias("mean_distance"), F.avg(F.abs(share - F.col("middle_of_all"))).alias("mean_distance_by_chance"))
+    fill = by.agg(
         F.count("*").alias("n_containers"),
         F.sum("pieces").alias("n_pieces"),
         F.sum("used").alias("n_tokens"),
         F.avg(F.col("used") / capacity).alias("mean_fill"),
         F.ceil(F.sum("used") / capacity).alias("least_containers"),
     )
+    return fill.crossJoin(distance)  # one row each

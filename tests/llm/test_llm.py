@@ -228,6 +228,20 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_neighbours_share_containers(spark):
+    """Texts on two subjects: along the curve a container holds one, in an order by chance both; the fill is as good."""
+    rng = random.Random(9)
+    halves = (WORDS[:10], [w.upper() for w in WORDS[10:]])
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(halves[i % 2]) for _ in range(rng.randrange(20, 60)))) for i in range(800)], "doc_id bigint, text string")
+    placed = packing.along_curve(docs)
+    good = packing.fill_report(packing.pack_placed(placed, capacity=512), 512).collect()[0]
+    chance = packing.fill_report(packing.pack_placed(placed.withColumn("curve", F.abs(F.hash("doc_id")).cast("long")), capacity=512).drop("curve").join(placed.select("doc_id", "curve"), "doc_id"), 512).collect()[0]
+    assert good.mean_fill > 0.95 and good.mean_distance < 0.35 * chance.mean_distance
+    mixed = lambda rows: sum(1 for r in rows if 0 < r.odd < r.n)
+    by = packing.pack_placed(placed, capacity=512).groupBy("container_id").agg(F.count("*").alias("n"), F.sum(F.col("doc_id") % 2).alias("odd")).collect()
+    assert mixed(by) <= 0.2 * len(by)
+
+
 # ---- mixing
 
 
@@ -249,6 +263,12 @@ def test_mixing(spark):
     mix = mixing.mix(docs, targets)
     assert mix.where("source = 'big'").agg(F.max("n_uses")).collect()[0][0] == 1 and mix.agg(F.max("n_uses")).collect()[0][0] <= 4
     assert sorted(map(tuple, mix.collect())) == sorted(map(tuple, mixing.mix(docs, targets).collect()))  # seeded
+    # sources without a target are folded: they count in the size of the whole and make no patterns
+    more = docs.unionByName(docs.where("doc_id < 100").withColumn("source", F.concat(F.lit("x"), F.col("doc_id").cast("string"))).withColumn("doc_id", F.col("doc_id") + 5000))
+    _, patterns, total = mixing.plan(mixing.distinct_texts(more, ["big", "small", "gone"]), mixing.targets_of(targets))
+    assert set(patterns) <= {(), ("big",), ("small",), ("big", "small")} and total > mixing.plan(mixing.distinct_texts(docs, ["big", "small", "gone"]), mixing.targets_of(targets))[2]
+    with pytest.raises(ValueError):
+        mixing.targets_of(spark.range(1001).selectExpr("cast(id as string) AS source", "0.1D AS target_share", "1 AS max_repeats"))
     assert mixing.shares(docs.limit(0), targets).where("mix_tokens > 0").count() == 0 and mixing.mix(docs.limit(0), targets.limit(0)).count() == 0
 
 
