@@ -16,6 +16,7 @@ STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for
 SHORT_TOKENS = ("tvma", "pg13", "r", "tv14", "tvpg", "ma", "pg")
 # Sequel numerals that stand between spaces.
 NUMERALS = {" ii ": " 2 ", " iii ": " 3 ", " iv ": " 4 ", " v ": " 5 ", " vi ": " 6 ", " vii ": " 7 ", " viii ": " 8 ", " ix ": " 9 "}
+# Fixed value: the certificates there are.
 RATINGS = r"^(G|PG|PG-13|R|NC-17|NR|NOT RATED|UNRATED|TV-(Y7-FV|Y7|Y|G|PG|14|MA))\z"
 
 

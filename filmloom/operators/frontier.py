@@ -40,6 +40,13 @@ def insert_new(frontier: DataFrame, found: DataFrame) -> DataFrame:
     return new.select("f.url", "normalized_url", F.lit("discovered").alias("status"), "f.depth", "f.discovered_at", F.lit(0).alias("retry_count"))
 
 
+def known(frontier: DataFrame, urls: DataFrame) -> DataFrame:
+    """urls (url) with their normal form and whether the frontier has it. NULL urls are not known."""
+    asked = urls.select("url", U.normalize(F.col("url")).alias("normalized_url"))
+    keys = frontier.select("normalized_url", F.lit(True).alias("__hit")).distinct()
+    return asked.join(keys, "normalized_url", "left").select("url", "normalized_url", F.coalesce("__hit", F.lit(False)).alias("is_known"))
+
+
 def next_batch(frontier: DataFrame, n: int) -> DataFrame:
     """The n discovered rows of least depth, then url (of the normal form where urls agree)."""
     return frontier.where("status = 'discovered'").orderBy("depth", "url", "normalized_url").limit(n)
@@ -136,12 +143,17 @@ def rate_windows(events: DataFrame, key: list[str], ts: str, per_minute: int, pe
     """events with the number of earlier ones in the last 60 and 3600 seconds (the ends not counted) and whether a limit is
     reached. Limits shrink with recent errors above two, to no less than 10 and 100.
 
-    Events of one key are one window partition; give a key that bounds it (a host and a day, say).
+    A key's events are parted by the hour, each part with the events of the hour before it carried over (as times only):
+    no window holds all events of a key, and every frame is whole.
     """
+    hour = 3_600_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = lambda seconds: Window.partitionBy(*key).orderBy("__us").rangeBetween(-(seconds * 1_000_000 - 1), -1)
+    told = events.withColumns({"__us": micros, "__part": F.floor(micros / hour), "__own": F.lit(True)})
+    empty = [F.lit(None).cast(t).alias(c) for c, t in events.dtypes if c not in key]
+    carried = told.select(*key, *empty, "__us", (F.col("__part") + 1).alias("__part"), F.lit(False).alias("__own")).select(told.columns)
+    w = lambda seconds: Window.partitionBy(*key, "__part").orderBy("__us").rangeBetween(-(seconds * 1_000_000 - 1), -1)
     e = F.coalesce(errors, F.lit(0)) if errors is not None else F.lit(0)
     factor = 1 + F.greatest(F.lit(0), e - 2) * 0.3
-    out = events.withColumn("__us", micros).withColumns({"last_minute": F.count("*").over(w(60)), "last_hour": F.count("*").over(w(3600))})
+    out = told.unionByName(carried).withColumns({"last_minute": F.count("*").over(w(60)), "last_hour": F.count("*").over(w(3600))}).where("__own")
     limit = lambda most, least: F.greatest(F.lit(least), F.floor(most / factor))
-    return out.withColumn("must_wait", (F.col("last_minute") >= limit(per_minute, 10)) | (F.col("last_hour") >= limit(per_hour, 100))).drop("__us")
+    return out.withColumn("must_wait", (F.col("last_minute") >= limit(per_minute, 10)) | (F.col("last_hour") >= limit(per_hour, 100))).drop("__us", "__part", "__own")

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from filmloom.session import stage
+
 MAX_EDITS = 3
+PARTS = 4
 
 
 def media_pages(rt: DataFrame) -> DataFrame:
@@ -45,17 +48,21 @@ def fuzzy_links(rt: DataFrame, wiki: DataFrame, max_edits: int = MAX_EDITS) -> D
     agreeing years; ties by page id, then title. Titles without a word are left out."""
     left = rt.where("title_norm <> ''").withColumns(dict(zip(("l_head", "l_tail"), _ends(F.col("title_norm")), strict=True)))
     right = wiki.where("wiki_title_norm <> ''").withColumns(dict(zip(("r_head", "r_tail"), _ends(F.col("wiki_title_norm")), strict=True)))
-    on = (F.col("l_head") == F.col("r_head")) & (F.col("l_tail") == F.col("r_tail")) & years_agree(F.col("rt_year"), F.col("wiki_year"))
-    edits = F.levenshtein("title_norm", "wiki_title_norm", max_edits)
-    near = left.join(right, on).withColumn("edits", edits).where("edits >= 0")  # -1: more edits than asked for
+    # the films under a common pair of words are dealt into parts, and a page meets each part
+    right = right.withColumn("r_part", F.pmod(F.xxhash64("wiki_page_id", "wiki_title"), F.lit(PARTS)).cast("int"))
+    left = left.withColumn("l_part", F.explode(F.array(*[F.lit(k) for k in range(PARTS)])))
+    on = (F.col("l_head") == F.col("r_head")) & (F.col("l_tail") == F.col("r_tail")) & (F.col("l_part") == F.col("r_part")) & years_agree(F.col("rt_year"), F.col("wiki_year"))
+    # lengths first: they tell most pairs apart without an edit distance
+    near = left.join(right, on & (F.abs(F.length("title_norm") - F.length("wiki_title_norm")) <= max_edits)).withColumn("edits", F.levenshtein("title_norm", "wiki_title_norm", max_edits))
+    near = near.where("edits >= 0")  # -1: more edits than asked for
     w = Window.partitionBy("file_path").orderBy("edits", "wiki_page_id", "wiki_title")
-    best = near.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "l_head", "l_tail", "r_head", "r_tail")
+    best = near.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "l_head", "l_tail", "r_head", "r_tail", "l_part", "r_part")
     return best.withColumn("join_confidence", _confidence())
 
 
 def all_links(rt: DataFrame, wiki: DataFrame) -> DataFrame:
     """Exact links, and fuzzy ones of the pages without any; once per (file_path, wiki_page_id), the surer one first."""
-    exact = exact_links(rt, wiki)
+    exact = stage(exact_links(rt, wiki))
     fuzzy = fuzzy_links(unmatched(rt, exact), wiki)
     both = exact.withColumn("edits", F.lit(0)).unionByName(fuzzy)
     w = Window.partitionBy("file_path", "wiki_page_id").orderBy(F.desc("join_confidence"), "edits", "wiki_title", "title", "tomatometer", "audience_score")

@@ -107,9 +107,10 @@ def rating_norm(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "rt", "rating").select(X.normalize_rating(loose).alias("rating")).distinct()
 
 
-@query("SELECT DISTINCT coalesce(runtime, '') AS runtime FROM rt WHERE runtime IS NULL OR regexp_matches(runtime, '^(\\d+h )?\\d+m$')")
+@query("""SELECT DISTINCT CASE WHEN runtime IS NULL THEN '' ELSE CASE WHEN h > 0 THEN h || 'h ' || m || 'm' ELSE m || 'm' END END AS runtime FROM (SELECT runtime, t // 60 AS h, t % 60 AS m FROM (SELECT runtime,
+ coalesce(TRY_CAST(regexp_extract(runtime, '^(\\d+)h', 1) AS INT), 0) * 60 + coalesce(TRY_CAST(regexp_extract(runtime, '^(?:\\d+h ?)?(\\d+)m', 1) AS INT), 0) AS t FROM rt))""")
 def duration_format(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "rt", "runtime").where(F.col("runtime").isNull() | F.col("runtime").rlike(r"^(\d+h )?\d+m$"))
+    rows = load(spark, d, "rt", "runtime")
     iso = F.concat(F.lit("PT"), F.upper(F.replace(F.col("runtime"), F.lit(" "), F.lit(""))))
     return rows.select(X.hours_minutes(X.iso_minutes(iso)).alias("runtime")).distinct()
 
@@ -461,7 +462,8 @@ SQL_LATEST = """l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n
 
 
 def _frontier(spark: SparkSession, d: str) -> DataFrame:
-    return R.latest(load(spark, d, "urls"))
+    """The frontier as a table: most queries read it more than once."""
+    return stage(R.latest(load(spark, d, "urls")))
 
 
 @query(f"WITH {SQL_LATEST} SELECT normalized_url, url, status, depth, discovered_at, crawled_at, retry_count, file_path, response_code, error_message FROM l")

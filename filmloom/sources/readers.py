@@ -53,8 +53,9 @@ def dump_links(html: Column, pattern: str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.rlike(pattern))))
 
 
+# Parts of the names of files that are no root page of a film or of a series.
 MOVIE_PARTS = ("cast_and_crew", "reviews", "photos", "clips", "videos", "news")
-SERIES_PARTS = ("episodes", "episode", "season", "cast_and_crew", "reviews", *[f"_s{k}" for k in range(10)])
+SERIES_PARTS = ("episodes", "episode", "season", "cast_and_crew", "reviews", "_s0", "_s1", "_s2", "_s3", "_s4", "_s5", "_s6", "_s7", "_s8", "_s9")
 
 
 def is_root_page(file_path: Column, html: Column | None, site: str, host: str, media: str = "all") -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The columns of a sample, in their order.
 SAMPLE_COLUMNS = (
     "title", "rt_year", "genres", "director", "cast", "tomatometer", "audience_score", "wiki_title", "wiki_year", "wiki_directors", "wiki_starring", "wiki_languages", "wiki_countries",
     "wiki_runtime_minutes", "wiki_budget", "wiki_box_office", "join_confidence",
