@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from filmloom.functions.text import search_tokens
 from filmloom.session import stage
@@ -66,10 +67,30 @@ def idf(method: str, n: Column, df: Column, max_df: Column) -> Column:
     return F.when(df > 0, value).otherwise(0.0)
 
 
-def _query_terms(postings: DataFrame, query: str) -> DataFrame:
-    """(term, times): the tokens of a query, of bounded number."""
-    one = postings.sparkSession.createDataFrame([(query,)], "q string")
-    return one.select(F.explode(search_tokens(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
+def query_terms(spark: SparkSession, query: str) -> dict[str, int]:
+    """The tokens of a query with how often each occurs in it."""
+    one = spark.createDataFrame([(query,)], "q string")
+    return {r.term: r.times for r in one.select(F.explode(search_tokens(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("times")).collect()}
+
+
+def _weighted(postings: DataFrame, lengths: DataFrame, terms: dict[str, int], needs_max: bool) -> DataFrame:
+    """The postings of the terms with how often each is asked (times), its df, and the corpus' n, avgdl and max_df. The terms
+    are literals of the filter, so that a saved index is read at their row groups only."""
+    times = F.create_map(*[F.lit(x) for kv in sorted(terms.items()) for x in kv])[F.col("term")] if terms else F.lit(0)
+    hits = postings.where(F.col("term").isin(sorted(terms))).withColumn("times", times)
+    facts = corpus(lengths)
+    most = frequencies(postings).agg(F.max("df").alias("max_df")) if needs_max else facts.select(F.lit(1).alias("max_df"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df")).join(facts).join(most)  # one row each
+    return hits.join(F.broadcast(df), "term")  # as many rows as the query has terms
+
+
+def _part(method: str, k1: float = K1, b: float = B) -> Column:
+    """What a posting adds to its document's score. bm25 always goes by the probabilistic idf."""
+    weight = idf("probabilistic" if method == "bm25" else method, F.col("n"), F.col("df"), F.col("max_df"))
+    if method != "bm25":
+        return F.col("wtf") * weight * F.col("times")
+    length = F.greatest(F.lit(1), F.col("dl")) / F.col("avgdl")
+    return weight * (F.col("wtf") * (k1 + 1.0)) / (F.col("wtf") + k1 * (1 - b + b * length)) * F.col("times")
 
 
 def search(
@@ -77,34 +98,31 @@ def search(
 ) -> DataFrame:
     """(doc_id, score) of the best k documents, score to 6 digits; ties by doc_id. k=None returns all hits.
 
-    bm25 always goes by the probabilistic idf. `only` (doc_id) restricts the hits, not the statistics. A hit whose terms
-    all have idf 0 is returned with score 0. A query without tokens has no hits.
+    `only` (doc_id) restricts the hits, not the statistics. A hit whose terms all have idf 0 is returned with score 0. A
+    query without tokens has no hits.
     """
-    terms = _query_terms(postings, query)
-    hits = postings.join(F.broadcast(terms), "term")  # as many rows as the query has tokens
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    facts = corpus(lengths)
-    most = frequencies(postings).agg(F.max("df").alias("max_df")) if method == "max" and not bm25 else facts.select(F.lit(1).alias("max_df"))
-    weighted = df.join(facts).join(most).withColumn("idf", idf("probabilistic" if bm25 else method, F.col("n"), F.col("df"), F.col("max_df")))  # one row each
-    scored = hits.join(F.broadcast(weighted), "term")
+    scored = _weighted(postings, lengths, query_terms(postings.sparkSession, query), method == "max" and not bm25)
     if only is not None:
         scored = scored.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
     if bm25:
-        scored = scored.join(lengths, "doc_id")
-        dl = F.greatest(F.lit(1), F.col("dl"))
-        part = F.col("idf") * (F.col("wtf") * (k1 + 1.0)) / (F.col("wtf") + k1 * (1 - b + b * (dl / F.col("avgdl"))))
-    else:
-        part = F.col("wtf") * F.col("idf")
-    out = scored.groupBy("doc_id").agg(F.round(F.sum(part * F.col("times")), 6).alias("score"))
+        scored = scored.join(lengths.select("doc_id", "dl"), "doc_id")
+    out = scored.groupBy("doc_id").agg(F.round(F.sum(_part("bm25" if bm25 else method, k1, b)), 6).alias("score"))
     return out.orderBy(F.desc("score"), "doc_id").limit(k) if k else out
 
 
+def with_documents(hits: DataFrame, documents: DataFrame) -> DataFrame:
+    """Hits (doc_id, score) with the columns of their documents, best first. A hit whose document is gone keeps its row."""
+    return hits.join(documents, "doc_id", "left").orderBy(F.desc("score"), "doc_id")
+
+
 def compare(postings: DataFrame, lengths: DataFrame, query: str, k: int = 5) -> DataFrame:
-    """(method, doc_id, score): the best k of every idf method and of BM25."""
-    out = search(postings, lengths, query, bm25=True, k=k).withColumn("method", F.lit("bm25"))
-    for m in METHODS:
-        out = out.unionByName(search(postings, lengths, query, m, k=k).withColumn("method", F.lit(m)))
-    return out.select("method", "doc_id", "score")
+    """(method, doc_id, score): the best k of every idf method and of BM25, in one pass over the postings of the query."""
+    scored = _weighted(postings, lengths, query_terms(postings.sparkSession, query), True).join(lengths.select("doc_id", "dl"), "doc_id")
+    names = ("bm25", *METHODS)
+    totals = scored.groupBy("doc_id").agg(*[F.round(F.sum(_part(m)), 6).alias(m) for m in names])
+    rows = totals.select("doc_id", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("score")) for m in names])).alias("x")).select("x.method", "doc_id", "x.score")
+    w = Window.partitionBy("method").orderBy(F.desc("score"), "doc_id")  # cut to k in every task before the shuffle
+    return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 
 
 def analyse(postings: DataFrame, lengths: DataFrame, terms: list[str]) -> DataFrame:
@@ -139,7 +157,47 @@ def upsert(postings: DataFrame, lengths: DataFrame, documents: DataFrame) -> tup
     return postings.join(ids, "doc_id", "left_anti").select(postings.columns).unionByName(new_postings), lengths.join(ids, "doc_id", "left_anti").unionByName(new_lengths)
 
 
-def save(postings: DataFrame, lengths: DataFrame, path: str) -> None:
-    """Postings sorted by term, so that a lookup skips row groups."""
-    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+def _generations(spark: SparkSession, path: str) -> list[int]:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_DONE-*")
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(folder)
+    return sorted(int(f.getPath().getName().split("-")[1]) for f in found or [])
+
+
+def save(postings: DataFrame, lengths: DataFrame, path: str, append: bool = False) -> int:
+    """Write an index as a generation of its own and return its number.
+
+    Postings are sorted by term, so that a lookup skips row groups. append adds a generation to those there are: its
+    documents take the place of earlier ones of the same id, and nothing is rewritten. Without append earlier generations
+    no longer count. A generation counts from when its marker is there; readers never see a part.
+    """
+    spark = postings.sparkSession
+    there = _generations(spark, path)
+    number = (there[-1] if there else 0) + 1
+    postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings/generation={number}")
+    lengths.write.parquet(f"{path}/lengths/generation={number}")
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.create(fs_path(f"{path}/_DONE-{number}"), True).close()
+    if not append:
+        for old in there:
+            files.delete(fs_path(f"{path}/_DONE-{old}"), False)
+    return number
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of a saved index: of each document its latest generation."""
+    there = _generations(spark, path)
+    if not there:
+        raise ValueError(f"no index at {path}")
+    read = lambda name: spark.read.option("basePath", f"{path}/{name}").parquet(*[f"{path}/{name}/generation={g}" for g in there])
+    postings, lengths = read("postings"), read("lengths")
+    if len(there) == 1:
+        return postings.drop("generation"), lengths.drop("generation")
+    newest = lengths.groupBy("doc_id").agg(F.max("generation").alias("generation"))
+    current = lambda df: df.join(newest, ["doc_id", "generation"], "left_semi").drop("generation")
+    return current(postings).select("term", "doc_id", "wtf"), current(lengths).select("doc_id", "dl")
+
+
+def append(documents: DataFrame, path: str, fields: dict[str, float] | None = None) -> int:
+    """Add documents to a saved index (or begin one); those of known ids are replaced. Returns the new generation."""
+    return save(*build(documents, fields), path, append=True)

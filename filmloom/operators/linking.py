@@ -43,6 +43,11 @@ def _ends(title: Column) -> tuple[Column, Column]:
     return F.element_at(words, 1), F.element_at(words, -1)
 
 
+def _ties(links: DataFrame) -> list[str]:
+    """What decides between repeated rows of a page or film, of the columns there are."""
+    return [c for c in ("title", "tomatometer", "audience_score", "wiki_runtime_minutes", "wiki_year") if c in links.columns]
+
+
 def fuzzy_links(rt: DataFrame, wiki: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     """For each page the film with the fewest edits (at most max_edits) among those with the same first and last word and
     agreeing years; ties by page id, then title. Titles without a word are left out."""
@@ -55,7 +60,7 @@ def fuzzy_links(rt: DataFrame, wiki: DataFrame, max_edits: int = MAX_EDITS) -> D
     # lengths first: they tell most pairs apart without an edit distance
     near = left.join(right, on & (F.abs(F.length("title_norm") - F.length("wiki_title_norm")) <= max_edits)).withColumn("edits", F.levenshtein("title_norm", "wiki_title_norm", max_edits))
     near = near.where("edits >= 0")  # -1: more edits than asked for
-    w = Window.partitionBy("file_path").orderBy("edits", "wiki_page_id", "wiki_title")
+    w = Window.partitionBy("file_path").orderBy("edits", "wiki_page_id", "wiki_title", *_ties(near))
     best = near.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "l_head", "l_tail", "r_head", "r_tail", "l_part", "r_part")
     return best.withColumn("join_confidence", _confidence())
 
@@ -65,7 +70,7 @@ def all_links(rt: DataFrame, wiki: DataFrame) -> DataFrame:
     exact = stage(exact_links(rt, wiki))
     fuzzy = fuzzy_links(unmatched(rt, exact), wiki)
     both = exact.withColumn("edits", F.lit(0)).unionByName(fuzzy)
-    w = Window.partitionBy("file_path", "wiki_page_id").orderBy(F.desc("join_confidence"), "edits", "wiki_title", "title", "tomatometer", "audience_score")
+    w = Window.partitionBy("file_path", "wiki_page_id").orderBy(F.desc("join_confidence"), "edits", "wiki_title", *_ties(both))
     return both.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 

@@ -69,4 +69,4 @@ def issue_counts(pages: DataFrame) -> DataFrame:
 
 def seeded_sample(pages: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
     """n rows in an order that depends on the key and a seed only (a sample that can be drawn again)."""
-    return pages.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return pages.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key))), key).limit(n)

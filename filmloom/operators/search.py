@@ -37,8 +37,9 @@ def build_documents(joined: DataFrame, rt: DataFrame, min_confidence: int | None
         F.col("rt_year").cast("int").alias("release_year"), "tomatometer", "audience_score", F.lit(None).cast("int").alias("runtime_minutes"), F.lit(None).cast("int").alias("join_confidence"),
     )
     both = linked.unionByName(alone).withColumn("genres_text", F.array_join("genres", " "))
-    row = F.struct(F.coalesce("join_confidence", F.lit(0)).alias("c"), F.coalesce("wiki_title", F.lit("")).alias("w"), F.struct(*[c for c in both.columns if c != "doc_id"]).alias("r"))
-    out = both.groupBy("doc_id").agg(F.max(row).alias("m")).select("doc_id", "m.r.*")
+    number, text = (lambda c: F.coalesce(c, F.lit(-1))), (lambda c: F.coalesce(c, F.lit("")))
+    order = F.struct(number("join_confidence"), text("wiki_title"), number("tomatometer"), number("audience_score"), number("runtime_minutes"), number("release_year"), text("title"), text("url"))
+    out = both.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in both.columns if c != "doc_id"]), order).alias("r")).select("doc_id", "r.*")
     return out.orderBy(F.col("join_confidence").isNull(), "doc_id").limit(max_documents) if max_documents else out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from filmloom.operators import linking as L
 from filmloom.operators import reports as S
 from filmloom.operators import search as Q
 from filmloom.sources import readers, wiki_dump, writers
-from filmloom.session import load, stage
+from filmloom.session import load, shared_dir, stage
 from filmloom.streaming import ledger
 
 SITE, HOST = "reelbarn_example", "reelbarn.example"
@@ -356,8 +358,17 @@ def sql_search(method: str, bm25: bool = False, k: int = 10, where: str = "TRUE"
 
 
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The index of all pages, staged as the two tables it is kept in."""
-    return tuple(stage(t) for t in I.build(stage(I.documents_of(load(spark, d, "rt", "file_path", "tomatometer", "audience_score", *I.FIELDS)))))
+    """The index of all pages, from the shared folder: written once per state of the table's files, read by every query."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    table = fs_path(f"{d}/rt.parquet")
+    listed = table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(table)
+    state = hashlib.md5("\n".join(sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in listed)).encode()).hexdigest()
+    path = f"{shared_dir(spark)}/filmloom-index/{spark.sparkContext.applicationId}/{state}"
+    try:
+        return I.load(spark, path)
+    except ValueError:
+        I.append(stage(I.documents_of(load(spark, d, "rt", "file_path", "tomatometer", "audience_score", *I.FIELDS))), path)
+        return I.load(spark, path)
 
 
 def _register_searches() -> None:

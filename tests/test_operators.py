@@ -57,6 +57,33 @@ def test_search_and_upsert(spark):
     assert index.compare(p, n, "fox").count() == 10
 
 
+def test_saved_index(spark, tmp_path):
+    """A saved index searches as the one in hand; appended documents are found, replaced ones only as they are now."""
+    docs = spark.createDataFrame([(f"d{i}", f"word{i % 7} fox", "den" if i % 2 else None, [], "tv") for i in range(40)], DOCS)
+    path = str(tmp_path / "index")
+    with pytest.raises(ValueError):
+        index.load(spark, path)
+    p, n = index.build(docs)
+    assert index.save(p, n, path) == 1
+    rows = lambda pair, q, **o: [tuple(r) for r in index.search(*pair, q, **o).collect()]
+    assert rows(index.load(spark, path), "fox word3 den", bm25=True) == rows((p, n), "fox word3 den", bm25=True)
+    change = spark.createDataFrame([("d1", "green owl", None, [], "tv"), ("new", "owl nest", None, [], "tv")], DOCS)
+    assert index.append(change, path) == 2
+    loaded, wanted = index.load(spark, path), index.upsert(p, n, change)
+    for q in ("owl", "fox", "word1 den"):
+        for m in index.METHODS:
+            assert rows(loaded, q, method=m, k=None) and sorted(rows(loaded, q, method=m, k=None)) == sorted(rows(wanted, q, method=m, k=None))
+    assert index.statistics(*loaded).collect() == index.statistics(*wanted).collect()
+    hits = index.with_documents(index.search(*loaded, "owl"), change.select("doc_id", "title")).collect()
+    assert {(r.doc_id, r.title) for r in hits} == {("d1", "green owl"), ("new", "owl nest")}
+    plan = index.load(spark, path)[0].where(F.col("term").isin(["owl"]))._jdf.queryExecution().executedPlan().toString()
+    assert "In(term" in plan or "EqualTo(term" in plan
+    assert index.save(p, n, path) == 3 and index.statistics(*index.load(spark, path)).collect() == index.statistics(p, n).collect()
+    # every method of one pass as by itself
+    both = {(r.method, r.doc_id, r.score) for r in index.compare(p, n, "fox den word2").collect()}
+    assert both == {(m, d, s) for m in ("bm25", *index.METHODS) for d, s in rows((p, n), "fox den word2", method=m if m != "bm25" else "standard", bm25=m == "bm25", k=5)}
+
+
 FULL = "doc_id string, file_path string, page_type string, url string, title string, synopsis string, genres array<string>, wiki_title string, director string, cast array<string>, release_year int, tomatometer bigint, audience_score bigint, runtime_minutes int, join_confidence int, genres_text string"
 
 
@@ -88,6 +115,24 @@ def test_frontier(spark):
     assert frontier.latest(f.limit(0)).count() == 0 and frontier.figures(f.limit(0)).collect()[0].total == 0
 
 
+def test_rate_window_across_hours(spark):
+    """Windows that reach into the hour before are whole: against counting one by one."""
+    import random
+
+    rng = random.Random(3)
+    times = [(k, k % 2, 1_700_000_000 + rng.randrange(3 * 3600)) for k in range(300)]
+    e = spark.createDataFrame(times, "id int, u int, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.id: (r.last_minute, r.last_hour) for r in frontier.rate_windows(e, ["u"], "ts", 10, 1500).collect()}
+    for k, u, s in times:
+        assert got[k] == tuple(sum(1 for _, v, t in times if v == u and 0 < s - t < w) for w in (60, 3600))
+
+
+def test_known(spark):
+    f = spark.createDataFrame([("https://e.com/a",)], "normalized_url string")
+    urls = spark.createDataFrame([("http://www.e.com/a/",), ("https://e.com/b",), (None,)], "url string")
+    assert {r.url: r.is_known for r in frontier.known(f, urls).collect()} == {"http://www.e.com/a/": True, "https://e.com/b": False, None: False}
+
+
 def test_rate_window(spark):
     e = spark.createDataFrame([(k, 1, datetime(2024, 1, 1, 0, 0, s)) for k, s in enumerate((0, 0, 30, 59))] + [(9, 1, datetime(2024, 1, 1, 0, 1, 0))], "id int, u int, ts timestamp")
     got = {r.id: (r.last_minute, r.must_wait) for r in frontier.rate_windows(e, ["u"], "ts", 10, 1500).collect()}
