@@ -127,9 +127,9 @@ def text_preview(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- pages
 
-def pages_of(spark: SparkSession, d: str) -> DataFrame:
-    """Pages written from the rows of rt, in the markup the extractor reads: (file_path, html)."""
-    rt = load(spark, d, "rt").distinct()
+def pages_of(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    """Pages written from the rows of rt (or those given), in the markup the extractor reads: (file_path, html)."""
+    rt = load(spark, d, "rt").distinct() if rows is None else rows
     media = F.col("page_type").isin("movie", "tv")
     kind = F.when(F.col("page_type") == "movie", "Movie").when(F.col("page_type") == "tv", "TVSeries")
     person = lambda c: F.transform(c, lambda n: F.struct(n.alias("name")))
@@ -191,12 +191,6 @@ def root_pages(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "rt", "file_path").distinct().select("file_path", readers.is_root_page(F.col("file_path"), None, SITE, HOST).alias("is_root"))
 
 
-@query()
-def root_pages_by_url(spark: SparkSession, d: str) -> DataFrame:
-    pages = pages_of(spark, d)
-    return pages.select("file_path", readers.is_root_page(F.col("file_path"), F.col("html"), SITE, HOST, "movie").alias("is_root")).distinct()
-
-
 # ---- encyclopedia
 
 def wiki_pages_of(spark: SparkSession, d: str) -> DataFrame:
@@ -306,11 +300,6 @@ def confidence_counts(spark: SparkSession, d: str) -> DataFrame:
     return L.confidence_counts(L.all_links(*_sides(spark, d)))
 
 
-@query()
-def csv_sample(spark: SparkSession, d: str) -> DataFrame:
-    return writers.sample_rows(L.all_links(load(spark, d, "rt"), load(spark, d, "wiki")))
-
-
 @query("SELECT file_path, unnest(genres) AS item FROM rt WHERE genres IS NOT NULL")
 def list_items(spark: SparkSession, d: str) -> DataFrame:
     return writers.list_items(load(spark, d, "rt", "file_path", "genres"), "genres")
@@ -449,22 +438,6 @@ def _multi(docs: DataFrame, text: str, where: Column | None = None) -> DataFrame
     return Q.search(docs, text, where, tokens=stage(Q.field_tokens(docs)))
 
 
-@query()
-def search_multifield(spark: SparkSession, d: str) -> DataFrame:
-    return _multi(search_documents(spark, d), QUERY).select("doc_id", "title", "score", "release_year", "tomatometer")
-
-
-@query()
-def search_filtered(spark: SparkSession, d: str) -> DataFrame:
-    where = Q.passes(page_type="movie", years=(1950, 2020), min_tomatometer=40, min_confidence=2)
-    return _multi(search_documents(spark, d, 2), 'lighthouse +drama -"old verrano" gener*', where).select("doc_id", "title", "score", "release_year", "tomatometer")
-
-
-@query()
-def search_syntax(spark: SparkSession, d: str) -> DataFrame:
-    return _multi(search_documents(spark, d), '"the lighthouse"^2 title:harbor lighthose~1').select("doc_id", "title", "score")
-
-
 # ---- frontier
 
 SQL_LATEST = """l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY normalized_url ORDER BY CASE status WHEN 'crawled' THEN 5 WHEN 'failed' THEN 4 WHEN 'queued' THEN 2 WHEN 'discovered' THEN 1 ELSE 0 END DESC,
@@ -546,12 +519,6 @@ def fetch_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return u.select(o.alias("o")).groupBy("o.kind").agg(F.count("*").alias("n"), F.sum("o.wait_seconds").alias("wait_seconds"))
 
 
-@query()
-def discovered_links(spark: SparkSession, d: str) -> DataFrame:
-    pages = pages_of(spark, d).withColumns({"depth": F.lit(1), "at": F.lit("2024-01-01").cast("timestamp_ntz")})
-    return R.discovered_links(pages, HOSTS)
-
-
 @query("""SELECT event_id, last_minute, last_hour, last_minute >= 30 OR last_hour >= 1500 AS must_wait FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND 1 PRECEDING) AS last_minute,
  count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND 1 PRECEDING) AS last_hour FROM events)""")
 def rate_window(spark: SparkSession, d: str) -> DataFrame:
@@ -616,6 +583,3 @@ def issue_counts(spark: SparkSession, d: str) -> DataFrame:
     return S.issue_counts(load(spark, d, "rt"))
 
 
-@query()
-def page_sample(spark: SparkSession, d: str) -> DataFrame:
-    return S.seeded_sample(load(spark, d, "rt", "file_path", "page_type").distinct(), "file_path", 20)

@@ -15,11 +15,12 @@ PAGE = T.StructType(
     + [T.StructField("cast", T.ArrayType(T.StringType())), T.StructField("synopsis", T.StringType())]
 )
 FRONTIER = "url string, normalized_url string, status string, depth int, discovered_at timestamp, crawled_at timestamp, retry_count int, file_path string, response_code int, error_message string"
+FRONTIER_COLUMNS = tuple(c.split()[0] for c in FRONTIER.split(", "))
 
 
-def read_html(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
-    """(file_path, html) of the *.html files of a directory, one file a row."""
-    reader = spark.read.option("pathGlobFilter", "*.html").option("recursiveFileLookup", str(recursive).lower())
+def read_html(spark: SparkSession, directory: str, recursive: bool = False, pattern: str = "*.html") -> DataFrame:
+    """(file_path, html) of the files of a directory whose name fits the pattern, one file a row."""
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
     return reader.text(directory, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("html"))
 
 
@@ -36,7 +37,7 @@ def read_metadata(spark: SparkSession, path: str, pattern: str = "*.jsonl", max_
 
 def read_frontier(spark: SparkSession, path: str) -> DataFrame:
     """The frontier of a CSV file, typed; of rows with one normalized_url the last stays."""
-    rows = spark.read.schema(FRONTIER).option("header", True).csv(path)
+    rows = spark.read.schema(FRONTIER).option("header", True).option("escape", '"').csv(path)
     row = F.struct(*[F.col(c) for c in rows.columns])
     return rows.withColumn("__at", F.monotonically_increasing_id()).groupBy("normalized_url").agg(F.max_by(row, F.col("__at")).alias("r")).select("r.*")
 

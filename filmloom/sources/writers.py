@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filmloom.sources.readers import FRONTIER_COLUMNS
+
 # The columns of a sample, in their order.
 SAMPLE_COLUMNS = (
     "title", "rt_year", "genres", "director", "cast", "tomatometer", "audience_score", "wiki_title", "wiki_year", "wiki_directors", "wiki_starring", "wiki_languages", "wiki_countries",
@@ -32,6 +34,13 @@ def write_sample(joined: DataFrame, path: str, n: int = 300) -> None:
     sample_rows(joined, n).coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
 
 
+def write_frontier(frontier: DataFrame, path: str) -> None:
+    """A snapshot of the frontier as CSV, in the place of the one before; times with their zone, white space kept."""
+    times = {c: F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX") for c in ("discovered_at", "crawled_at")}
+    out = frontier.withColumns(times).select(*FRONTIER_COLUMNS).write.mode("overwrite").option("header", True)
+    out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').csv(path)
+
+
 def write_json_batches(df: DataFrame, path: str, rows_per_file: int = 1000) -> None:
     df.write.mode("append").option("maxRecordsPerFile", rows_per_file).json(path)
 

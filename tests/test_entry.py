@@ -9,9 +9,9 @@ from collections import Counter
 import duckdb
 import pytest
 
-from filmloom.plans import catalogue, preparation
+from filmloom.plans import catalogue, extended, preparation
 
-MODULES = (catalogue, preparation)
+MODULES = (catalogue, extended, preparation)
 QUERIES = {n: f for m in MODULES for n, f in m.QUERIES.items()}
 ORACLES = {n: s for m in MODULES for n, s in m.ORACLES.items()}
 
