@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filmloom.functions.bpe import token_count
 from filmloom.functions.text import whitespace_tokens
 
 COMPLETE_FIELDS = ("title", "url", "description", "tomatometer", "audience_score", "genres", "cast")
@@ -38,11 +39,12 @@ def scores(pages: DataFrame) -> DataFrame:
     return rows.where("x.v > 0").groupBy("x.score").agg(F.count("*").alias("n"), F.round(F.avg("x.v"), 2).alias("average"))
 
 
-def token_counts(pages: DataFrame) -> DataFrame:
-    """One row: words of descriptions and synopses, in all, and per page."""
-    return pages.agg(
-        F.coalesce(F.sum(whitespace_tokens(F.col("description"))), F.lit(0)).alias("description_tokens"), F.coalesce(F.sum(whitespace_tokens(F.col("synopsis"))), F.lit(0)).alias("synopsis_tokens"), F.count("*").alias("n")
-    ).select(
+def token_counts(pages: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """One row: tokens of descriptions and synopses by the vocabulary of a rank file (words where none is given), in all, and
+    per page."""
+    size = lambda c: token_count(F.col(c), vocabulary) if vocabulary else whitespace_tokens(F.col(c))
+    sized = pages.select(size("description").alias("d"), size("synopsis").alias("s"))
+    return sized.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("description_tokens"), F.coalesce(F.sum("s"), F.lit(0)).alias("synopsis_tokens"), F.count("*").alias("n")).select(
         "description_tokens", "synopsis_tokens", (F.col("description_tokens") + F.col("synopsis_tokens")).alias("total_tokens"),
         F.when(F.col("n") > 0, F.round((F.col("description_tokens") + F.col("synopsis_tokens")) / F.col("n"), 2)).otherwise(0.0).alias("tokens_per_page"),
     )

@@ -164,6 +164,16 @@ def dump_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return wiki_dump.film_records(wiki_dump.read_pages(spark, path)).select("wiki_page_id", "wiki_runtime_minutes").distinct()
 
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def token_stats_bpe(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts by a public vocabulary, which SQL has not."""
+    return S.token_counts(load(spark, d, "rt", "description", "synopsis"), VOCABULARY)
+
+
+QUERIES["token_stats_bpe"] = token_stats_bpe
+
 # ---- files
 
 SQL_ONE_PAGE = "d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY tomatometer DESC NULLS LAST, audience_score DESC NULLS LAST) AS rn FROM rt WHERE file_path IS NOT NULL) WHERE rn = 1)"
@@ -407,6 +417,17 @@ def search_syntax(spark: SparkSession, d: str) -> DataFrame:
     return C._multi(C.search_documents(spark, d), '"the lighthouse"^2 title:harbor lighthose~1').select("doc_id", "title", "score")
 
 
+@query(
+    sql_multi(
+        [f"SELECT doc_id, field, 'har TO harz' AS key, count(*) AS tf, {_ALL} AS weight FROM tok WHERE term >= 'har' AND term < 'harz' AND field = 'title' GROUP BY 1, 2", f"SELECT doc_id, field, 'l?ght*' AS key, count(*) AS tf, {SQL_BOOST} AS weight FROM tok WHERE regexp_matches(term, '^l.ght.*$') GROUP BY 1, 2",
+         f"SELECT doc_id, field, 'b*' AS key, count(*) AS tf, 3.0 * {SQL_BOOST} AS weight FROM tok WHERE regexp_matches(term, '^br.dge$') GROUP BY 1, 2"],
+        columns="doc_id, title, score", needed="doc_id NOT IN (SELECT doc_id FROM tok WHERE term = 'comedy')",
+    )
+)
+def search_groups(spark: SparkSession, d: str) -> DataFrame:
+    return C._multi(C.search_documents(spark, d), "title:[har TO harz} (l?ght* (br?dge)^3) -(comedy)").select("doc_id", "title", "score")
+
+
 @query(f"WITH {sql_docs(2)} SELECT doc_id, wiki_title, director, release_year, tomatometer, runtime_minutes, join_confidence FROM docs")
 def search_documents(spark: SparkSession, d: str) -> DataFrame:
     """The documents at a confidence of 2: pages whose links fall below it come back as pages of their own."""

@@ -94,9 +94,13 @@ def test_query_language(spark):
     assert set(ids("house")) == {"a", "b"} and ids('"red house"') == ["a"] and ids("house -barn") == ["a"]
     assert ids("+house +barn") == ["b"] and ids("hors~1 -house") == ["c"] and ids("title:blue") == ["c"] and set(ids("ho*")) == {"a", "b", "c"}
     assert ids("house", search.passes(years=(1995, 2020))) == ["b"] and ids("") == [] and ids("house AND barn") == ["b"] and ids("house NOT barn") == ["a"]
-    for bad in ("title:[a TO b]", "nofield:x", "h?use"):
-        with pytest.raises(ValueError):
-            search.parse_query(bad)
+    assert set(ids("h?use")) == {"a", "b"} and ids("b*e") == ["c"] and set(ids("title:[blue TO house]")) == {"a", "b", "c"} and ids("title:{blue TO horse]") == ["c"] and ids("title:[red TO *]") and ids("title:{house TO reda}")
+    assert set(ids("(red OR blue) AND (horse OR barn)")) == {"b", "c"} and ids("+(red blue) -(barn old)") == ["c"] and ids("title:(blue horse)") == ["c"] and ids("()") == [] and set(ids("(house")) == {"a", "b"}
+    assert ids("house (barn)^9") == ["b", "a"] and ids("(+house +(barn OR nothing))") == ["b"]
+    with pytest.raises(ValueError):
+        search.parse_query("nofield:x")
+    with pytest.raises(ValueError):
+        search.parse_query("(" * 60 + "x")
 
 
 URLS = "url string, normalized_url string, status string, depth int, discovered_at timestamp_ntz, crawled_at timestamp_ntz, retry_count int, file_path string, response_code int, error_message string"
@@ -145,6 +149,8 @@ def test_reports(spark):
     assert {(r.file_path, r.issue) for r in reports.issues(p).collect()} == {("a", "missing_title"), ("a", "missing_scores"), ("a", "missing_genres"), ("a", "missing_description"), ("b", "missing_url")}
     assert {r.field: r.percent for r in reports.completeness(p).collect()}["title"] == 50.0
     assert reports.token_counts(p).collect()[0].total_tokens == 2
+    by_vocabulary = reports.token_counts(p.withColumn("synopsis", F.lit("unbelievably so")), "/opt/tokenizers/byte_bpe_50k.tiktoken").collect()[0]
+    assert by_vocabulary.description_tokens == 2 and by_vocabulary.synopsis_tokens > 4
     assert reports.completeness(p.limit(0)).collect()[0].percent is None
     assert writers.metadata_rows(p).where("file_path = 'a'").collect()[0].cast == ""
 
