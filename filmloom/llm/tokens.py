@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -11,20 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filmloom.functions.bpe import encoding
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 DIMENSIONS = 4
-# Fixed value: how the vocabulary's own tokenizer parts text before merging.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-@lru_cache(maxsize=2)
-def encoding(path: str = VOCABULARY):
-    """The tokenizer of a rank file, once per process."""
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @lru_cache(maxsize=2)

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from filmloom.llm import linkage, markup, mixing, names, packing, truncation
-from filmloom.llm.tokens import encoding
+from filmloom.llm.tokens import VOCABULARY, encoding
 
 # ---- names
 
@@ -130,6 +130,31 @@ def test_every_pair_under_a_hot_key_is_met(spark):
     assert pairs.count() == pairs.distinct().count() == 160
 
 
+def test_five_thousand_pages_under_one_title(spark):
+    """Every page of a title meets all its records, those without year and names included; a matching person finds the one."""
+    name = lambda i: "{0}an {0}son".format("".join(chr(97 + int(c)) for c in str(i)))
+    rt = [(f"p{i}", "Untitled", None if i % 3 else 1990 + i, None, None if i % 4 else name(i * 7), None, None) for i in range(20)]
+    wiki = [(f"h{i}", "Untitled", "untitled", None if i % 2 else 1950 + i % 60, None, [name(i)] if i % 5 else None, None, None) for i in range(5000)]
+    redirect = spark.createDataFrame([], "redirect_title string, target_title string, target_title_norm string")
+    left = linkage.left_records(spark.createDataFrame(rt, RT)).withColumn("year", linkage._one_year(F.col("years"))).withColumnRenamed("id", "left_id")
+    wiki = spark.createDataFrame(wiki, WIKI)
+    right, titles = linkage.right_records(wiki).withColumnRenamed("id", "right_id"), linkage.page_titles(wiki, redirect).withColumnRenamed("id", "right_id")
+    pairs = linkage.candidate_pairs(left, right, titles)
+    assert pairs.count() == 20 * 5000
+    levels = linkage.compare(pairs, left, right, titles)
+    told = {(r.left_id, r.right_id) for r in levels.where("director = 2").collect()}
+    assert told == {(f"p{i}", f"h{i * 7}") for i in range(0, 20, 4) if i * 7 % 5}
+
+
+def test_skip_keys_meet_titles_one_word_apart(spark):
+    rows = [("a b c", "a x c"), ("red fox den", "red foxx den"), ("storm harbor", "storm harbour"), ("storm harbor", "storm harbxr"), ("one two three four", "one two three five")]
+    apart = [("storm harbor", "storm meadow"), ("a b c d", "a x y d")]
+    for pairs, want in ((rows, True), (apart, False)):
+        for x, y in pairs:
+            df = spark.createDataFrame([(x.split(" "), y.split(" "))], "x array<string>, y array<string>")
+            assert df.select(F.arrays_overlap(linkage._skip_keys(F.col("x")), linkage._skip_keys(F.col("y"))).alias("m")).collect()[0].m == want, (x, y)
+
+
 def test_expectation_maximisation():
     rng = np.random.default_rng(2)
     counts: dict = {}
@@ -216,7 +241,7 @@ def test_packing(spark):
     texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 150))) for _ in range(300)] + ["", None, "night " * 900] + ["same text here"] * 150
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("n_tokens", F.lit(-1))
     packed = packing.pack(docs, capacity=256).collect()
-    size = {i: len(encoding().encode_ordinary(t)) for i, t in enumerate(texts) if t}
+    size = {i: len(encoding(VOCABULARY).encode_ordinary(t)) for i, t in enumerate(texts) if t}
     used: dict = {}
     parts: dict = {}
     for r in packed:
