@@ -438,7 +438,10 @@ def to_text(text: str | None) -> tuple[str | None, list[str]]:
         t = re.sub(r"\\\((.+?)\\\)", lambda m: keep.formula(_unescape(m.group(1)), False), t, flags=re.S)
         t = _MATH.sub(lambda m: keep.formula(_unescape(m.group(1) or m.group(2)), m.group(1) is not None), t)
     if "html" in kinds:
-        node, least, page = main_content(parse_html(t))
+        root = parse_html(t)
+        if not root.marks:  # tags within code only
+            kinds = [k for k in kinds if k != "html"] or ["markdown"]
+        node, least, page = main_content(root)
         t = render(node, keep, least, page)
     if "wiki" in kinds:
         t = _wiki(t)
