@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from filmloom.functions import wikitext
 from filmloom.functions.text import normalize_title
@@ -81,5 +80,7 @@ def with_aliases(wiki: DataFrame, redirect: DataFrame) -> DataFrame:
         .select(*others, F.col("redirect_title").alias("wiki_title"), F.col("redirect_title_norm").alias("wiki_title_norm"), F.lit(1).alias("is_alias"))
     )
     both = wiki.withColumn("is_alias", F.lit(0)).unionByName(alias)
-    w = Window.partitionBy("wiki_title_norm", "wiki_year").orderBy("is_alias", "wiki_page_id", "wiki_title")
-    return both.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(*wiki.columns)
+    # an aggregate and no window: a title of very many films is combined before the shuffle
+    text = lambda c: F.coalesce(c, F.lit(""))
+    row, order = F.struct(*[F.col(f"`{c}`") for c in wiki.columns]), F.struct("is_alias", text("wiki_page_id"), text("wiki_title"), F.xxhash64(*[F.col(f"`{c}`") for c in wiki.columns]))
+    return both.groupBy("wiki_title_norm", "wiki_year").agg(F.min_by(row, order).alias("r")).select("r.*")
