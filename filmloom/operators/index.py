@@ -173,8 +173,8 @@ def save(postings: DataFrame, lengths: DataFrame, path: str, append: bool = Fals
     spark = postings.sparkSession
     there = _generations(spark, path)
     number = (there[-1] if there else 0) + 1
-    postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings/generation={number}")
-    lengths.write.parquet(f"{path}/lengths/generation={number}")
+    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings/generation={number}")  # of a write that broke off
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths/generation={number}")
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     files = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.create(fs_path(f"{path}/_DONE-{number}"), True).close()
