@@ -7,10 +7,10 @@ common given name one slip away from it, and another token with at most one
 character deleted. Every candidate is then verified by an optimal assignment of its
 tokens that permits small edits, initials and abbreviations at a cost.
 
-A key's forms are linked to its most frequent form, not to each other; those that do
-not fit it meet the most frequent of the rest, until none is left. Forms with an
-initial or a nickname say less than a full name; they join a person only where
-exactly one person fits, or exactly one that occurs in the same context (a film).
+Every two forms under a key are held against each other, and persons are the
+components of the links. Forms with an initial or a nickname say less than a full
+name; they join a person only where exactly one person fits, or exactly one that
+occurs in the same context (a film).
 
 Nicknames are not listed but learnt: a rare given name that stands for a common one
 under the same surname in the same contexts, beside it in quotes, or as its beginning.
@@ -104,6 +104,7 @@ def osa(a: str, b: str, most: int = 2) -> int:
     return min(row[-1], most + 1)
 
 
+@lru_cache(maxsize=100_000)  # the names of a key share tokens
 def token_cost(a: str, b: str) -> float:
     """0 equal; 0.5 an initial or an abbreviation; 1 or 2 edits; 9 different."""
     if a == b:
@@ -184,26 +185,27 @@ def components(links: DataFrame) -> DataFrame:
 KINDS = {"given": (2.0, True), "surname": (2.0, False), "middle": (1.0, False)}
 
 
-def _leader_links(keyed: DataFrame, forms: DataFrame) -> DataFrame:
-    """Verified links (a, b) of the forms under a key. keyed: key, kind, id, n; forms: id, form, common.
+# A key of more forms than this is dealt into parts of about so many, and a task gets about so many pairs; neither changes a pair.
+HOT_FORMS, TASK_PAIRS = 200, 500_000
 
-    A key's forms are held against its most frequent form; those that do not fit it meet the most frequent of the rest,
-    until no key has two. The leader is found by an aggregate of numbers, map-side; no group is gathered in one task.
+
+def _leader_links(keyed: DataFrame, forms: DataFrame, hot_forms: int = HOT_FORMS) -> DataFrame:
+    """Verified links (a, b) of the forms under a key. keyed: key, kind, id; forms: id, form, common.
+
+    Every two forms under a key are held against each other, not only against the most frequent one: what fits that may be
+    all that a third form fits. Forms alone under their key are dropped first; the others are dealt, so that no task holds
+    all pairs of a hot key, and pairs are verified where they meet, never shuffled.
     """
-    told = lambda who: forms.select(F.col("id").alias(who), F.col("form").alias(f"{who}_form"), F.col("common").alias(f"{who}_common"))
     most = F.create_map(*[F.lit(x) for k, (cost, _) in KINDS.items() for x in (k, cost)])[F.col("kind")]
-    barred = F.col("kind").isin(*[k for k, (_, bar) in KINDS.items() if bar]) & F.col("id_common") & F.col("leader_common")
-    links: DataFrame | None = None
-    while True:
-        rank = F.shiftleft(F.least("n", F.lit((1 << 39) - 1)), 24) + F.col("id").bitwiseAND((1 << 24) - 1)
-        leaders = keyed.groupBy("key").agg(F.max_by("id", rank).alias("leader"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-        pairs = stage(keyed.join(leaders.select("key", "leader"), "key").where("id <> leader"))
-        tried = stage(pairs.select("kind", "id", "leader").distinct().join(told("id"), "id").join(told("leader"), "leader").withColumn("fits", ~barred & (_align("id_form", "leader_form") <= most)))
-        found = tried.where("fits").select(F.col("id_form").alias("a"), F.col("leader_form").alias("b")).distinct()
-        links = found if links is None else links.unionByName(found)
-        keyed = pairs.join(tried.where("NOT fits").select("kind", "id", "leader"), ["kind", "id", "leader"], "left_semi").drop("leader")
-        if not keyed.groupBy("key").agg((F.min("id") != F.max("id")).alias("two")).where("two").limit(1).count():
-            return links.distinct()
+    barred = F.col("kind").isin(*[k for k, (_, bar) in KINDS.items() if bar]) & F.col("a_common") & F.col("b_common")
+    keyed = stage(keyed.select("key", "kind", "id"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stage(keyed.join(sizes, "key").join(forms.select("id", "form", "common"), "id").withColumn("parts", F.ceil(F.col("n") / hot_forms).cast("int")))
+    tasks = max(shared.sparkSession.sparkContext.defaultParallelism, (shared.agg(F.sum("n")).collect()[0][0] or 0) // 2 // TASK_PAIRS)
+    told = lambda who, part: shared.select("key", "kind", part.alias("part"), *[F.col(c).alias(f"{who}_{c}") for c in ("id", "form", "common")]).repartition(tasks, "key", "kind", "part")
+    left, right = told("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), told("b", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    pairs = left.join(right, ["key", "kind", "part"]).where((F.col("a_id") < F.col("b_id")) & ~barred)
+    return stage(pairs.where(_align("a_form", "b_form") <= most).select(F.col("a_form").alias("a"), F.col("b_form").alias("b")).distinct())
 
 
 def _attach(vague: DataFrame, persons: DataFrame) -> DataFrame:
@@ -279,9 +281,9 @@ def link_spellings(spellings: DataFrame, rare_share: float = 0.1) -> DataFrame:
     # rare given names one slip away from a common one stand under that too
     apart = given.where("short IS NULL").withColumn("v", F.explode(_deletes("given")))
     slips = apart.where("NOT common").select("v", F.col("given").alias("slip")).join(apart.where("common").select("v", "given"), "v").select("slip", "given").distinct().where(_align("slip", "given") <= 1.0)
-    also = full.join(slips.withColumnRenamed("given", "meant"), full.given == F.col("slip")).select("id", "n", F.col("meant").alias("given"), "surname")
-    keyed = lambda df, kind, keys: df.select(F.lit(kind).alias("kind"), "id", "n", F.explode(keys).alias("key"))
-    under_given = full.select("id", "n", "given", "surname").unionByName(also)
+    also = full.join(slips.withColumnRenamed("given", "meant"), full.given == F.col("slip")).select("id", F.col("meant").alias("given"), "surname")
+    keyed = lambda df, kind, keys: df.select(F.lit(kind).alias("kind"), "id", F.explode(keys).alias("key"))
+    under_given = full.select("id", "given", "surname").unionByName(also)
     keys = keyed(under_given, "surname", F.transform(_deletes("surname"), lambda v: F.xxhash64(F.lit("s"), "given", v)))
     keys = keys.unionByName(keyed(full.where("given <> ''"), "given", F.transform(_deletes("given"), lambda v: F.xxhash64(F.lit("g"), "surname", v))))
     # "Mary J. Smith" and "Mary Smith" are equal forms already; here full middle names

@@ -68,6 +68,28 @@ def test_forms_far_from_the_leader_meet(spark):
     assert got == {("ann xycz", "ann xyczz")}
 
 
+def test_a_form_fits_only_one_that_fits_the_leader(spark):
+    """Maren is a slip from Marten and Mqaren a slip from Maren, but Mqaren and Marten are two apart: one person by two links."""
+    rows = [("Zofia Marten", None)] * 5 + [("Zofia Maren", None), ("Zofia Mqaren", None), ("Zofia Lamp", None)]
+    linked = names.link_spellings(spark.createDataFrame(rows, "name string, context string"))
+    got = {(r.name_a, r.name_b) for r in names.spelling_pairs(linked).collect()}
+    assert got == {("Zofia Maren", "Zofia Marten"), ("Zofia Maren", "Zofia Mqaren"), ("Zofia Marten", "Zofia Mqaren")}
+
+
+def test_all_links_under_a_key_are_found(spark):
+    """Links against brute force over all pairs of a key, also where a hot key is dealt into parts."""
+    rng = random.Random(5)
+    forms = sorted({f"{rng.choice(('ann', 'anna', 'hanna'))} {''.join(rng.choices('abc', k=rng.randrange(3, 6)))}" for _ in range(70)})
+    told = [(i, f, f.startswith("ann "), rng.randrange(1, 9)) for i, f in enumerate(forms)]
+    under = {i: {("surname " + f.split()[0], "surname"), (f"given {'b' in f}", "given"), ("middle", "middle")} for i, f, _, _ in told}
+    keyed = spark.createDataFrame([(*k, i, n) for i, _, _, n in told for k in under[i]], "key string, kind string, id long, n long")
+    fits = lambda kind, a, b, both: names.align(a, b) <= names.KINDS[kind][0] and not (names.KINDS[kind][1] and both)
+    want = {(a, b) for i, a, c, _ in told for j, b, d, _ in told[i + 1 :] if any(fits(kind, a, b, c and d) for _, kind in under[i] & under[j])}
+    find = lambda **more: {tuple(sorted((r.a, r.b))) for r in names._leader_links(keyed, spark.createDataFrame([t[:3] for t in told], "id long, form string, common boolean"), **more).collect()}
+    assert want and find() == want
+    assert find(hot_forms=7) == want
+
+
 @pytest.mark.parametrize(("a", "b", "cost"), [("a b c d e f g h i", "a b c d e f g h i", 0.0), ("ann b c d e f g h smith", "ann b c d e f g h smyth", 1.0), ("a b c d e", "f g h i j", 9.0), ("maria de la cruz y santos ruiz", "ruiz maria de la cruz y santos", 0.0), ("x", "x b c d", 9.0)])
 def test_long_names_align(a, b, cost):
     assert min(9.0, names.align(a, b)) == cost
