@@ -13,7 +13,7 @@ from filmloom.operators import linking as L
 from filmloom.operators import reports as S
 from filmloom.operators import search as Q
 from filmloom.plans import catalogue as C
-from filmloom.session import load, stage, staged_path
+from filmloom.session import drop_path, load, stage, staged_path
 from filmloom.sources import readers, wiki_dump, writers
 from filmloom.streaming import ledger
 
@@ -176,6 +176,8 @@ QUERIES["token_stats_bpe"] = token_stats_bpe
 
 # ---- files
 
+# Pages in a staged part, and parts whose pages are files at one time (65,536, or 0.27 GB of disk in blocks of 4 KB).
+PAGES_A_PART, PARTS_A_TURN = 4096, 16
 SQL_ONE_PAGE = "d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY tomatometer DESC NULLS LAST, audience_score DESC NULLS LAST) AS rn FROM rt WHERE file_path IS NOT NULL) WHERE rn = 1)"
 
 
@@ -204,11 +206,22 @@ def frontier_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SQL_ONE_PAGE} SELECT {clean('url')} AS url, {clean('title')} AS title FROM d")
 def html_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Pages written one to a file, scanned as whole files and extracted."""
-    path = staged_path(spark, "pages")
-    pages = C.pages_of(spark, d, _one_page(spark, d))
-    pages.select("html").write.option("maxRecordsPerFile", 1).text(path)
-    return H.extract_pages(readers.read_html(spark, path, pattern="*.txt"), C.SITE).select("url", "title")
+    """Pages written one to a file, scanned as whole files and extracted; in turns, each over the files of the one before,
+    because a file takes a block of disk however short it is."""
+    pages, out = staged_path(spark, "pages"), staged_path(spark, "scanned")
+    C.pages_of(spark, d, _one_page(spark, d)).select("html").write.option("maxRecordsPerFile", PAGES_A_PART).parquet(pages)
+    parts = sorted(f"{pages}/{f.rsplit('/', 1)[-1]}" for f in spark.read.schema("html string").parquet(pages).inputFiles())
+    used = None
+    for k in range(0, len(parts), PARTS_A_TURN):
+        path = staged_path(spark, "files")
+        writers.write_pages(spark.read.schema("html string").parquet(*parts[k : k + PARTS_A_TURN]), path, used)
+        if used:
+            drop_path(spark, used)
+        H.extract_pages(readers.read_html(spark, path, recursive=True, pattern="*.txt"), C.SITE).select("url", "title").write.mode("append").parquet(out)
+        used = path
+    drop_path(spark, used)
+    drop_path(spark, pages)
+    return spark.read.schema("url string, title string").parquet(out)
 
 
 @query("SELECT coalesce(page_type, 'unknown') AS page_type, count(*) AS n FROM rt GROUP BY 1")

@@ -98,6 +98,24 @@ def drop_staged(spark: SparkSession) -> None:
                 files.delete(part.getPath(), True)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a staged folder whose rows have been written elsewhere."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def mounted(spark: SparkSession, path: str) -> list[str] | None:
+    """The folders that a path or glob names, or the path itself where nothing is there, if the file system is a mounted one
+    (scheme file), whose files a task may open itself; else, and where one is a file, None."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getUri().getScheme() != "file":
+        return None
+    found = list(files.globStatus(p) or [])
+    plain = [s.getPath().toUri().getPath() for s in found] or [files.makeQualified(p).toUri().getPath()]
+    return plain if all(s.isDirectory() for s in found) else None
+
+
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One table of a data directory, pruned to the columns named."""
     ship_package(spark)

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filmloom.functions.text import first_nonempty, match_first
+from filmloom.session import mounted, ship_package
 
 PAGE = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("file_path", "page_type", "url", "title", "description")]
@@ -18,10 +26,80 @@ FRONTIER = "url string, normalized_url string, status string, depth int, discove
 FRONTIER_COLUMNS = tuple(c.split()[0] for c in FRONTIER.split(", "))
 
 
+# Files and bytes in a batch of names or pages; what Spark's own reader leaves out; names that it takes as they are
+# (others may be compressed); characters that stand for themselves in the path of a URI.
+NAMES, BYTES = 5_000, 4_000_000
+HIDDEN = re.compile(rb"_(?!.*=)|\.|.*\._COPYING_\Z", re.S)
+PLAIN_NAME = re.compile(r"\.(html?|txt)\Z")
+QUOTED = re.compile(r"[^A-Za-z0-9_\-!.~'()*:@&=+$,;/]")
+
+
+def _uri(path: bytes) -> str:
+    """A path as `_metadata.file_path` gives it."""
+    quoted = lambda m: m[0] if m[0] > "\x7f" and unicodedata.category(m[0]) not in ("Zs", "Zl", "Zp", "Cc") else quote(m[0])
+    return "file:" + QUOTED.sub(quoted, path.decode(errors="replace"))
+
+
+def _names(recursive: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Folders to the files in them: (path, file_path, name)."""
+
+    def batch(paths: list[bytes]) -> pa.RecordBatch:
+        name = pa.array([os.path.basename(p).decode(errors="replace") for p in paths], pa.string())
+        return pa.record_batch([pa.array(paths, pa.binary()), pa.array([_uri(p) for p in paths], pa.string()), name], ["path", "file_path", "name"])
+
+    def run(batches):
+        folders, paths = [os.fsencode(f) for b in batches for f in b.column(0).to_pylist()], []
+        while folders:
+            with os.scandir(folders.pop()) as entries:
+                for e in entries:
+                    if HIDDEN.match(e.name):
+                        continue
+                    if e.is_dir():
+                        if recursive or b"=" in e.name:
+                            folders.append(e.path)
+                    elif e.is_file():
+                        paths.append(e.path)
+                    if len(paths) == NAMES:
+                        yield batch(paths)
+                        paths = []
+        yield batch(paths)
+
+    return run
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, file_path) to (file_path, html), the bytes of each file."""
+    pages = lambda names, read: pa.record_batch([pa.array(names, pa.string()), pa.array(read, pa.binary())], ["file_path", "html"])
+    for b in batches:
+        names, read, size = [], [], 0
+        for path, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            with open(path, "rb", buffering=0) as f:
+                page = f.readall()
+            if page:
+                names.append(name)
+                read.append(page)
+                size += len(page)
+            if size >= BYTES:
+                yield pages(names, read)
+                names, read, size = [], [], 0
+        yield pages(names, read)
+
+
 def read_html(spark: SparkSession, directory: str, recursive: bool = False, pattern: str = "*.html") -> DataFrame:
-    """(file_path, html) of the files of a directory whose name fits the pattern, one file a row."""
-    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
-    return reader.text(directory, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("html"))
+    """(file_path, html) of the files of a directory whose name fits the pattern, one file a row.
+
+    On a mounted file system a task lists the names and others, as many as spark.sql.shuffle.partitions, read them: Spark's own
+    reader holds all names in the driver and takes four small files or so a task. An empty file gives no row, as there.
+    """
+    folders = mounted(spark, directory) if PLAIN_NAME.search(pattern) else None
+    if not folders or not all(os.path.isdir(f) for f in folders):
+        reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
+        return reader.text(directory, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("html"))
+    ship_package(spark)
+    fits = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()
+    names = spark.createDataFrame([(f,) for f in folders], "folder string").mapInArrow(_names(recursive), "path binary, file_path string, name string")
+    dealt = names.where(F.col("name").rlike(rf"(?s)\A(?:{fits})\z")).select("path", "file_path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return dealt.mapInArrow(_contents, "file_path string, html binary").select("file_path", F.col("html").cast("string").alias("html"))
 
 
 def read_metadata(spark: SparkSession, path: str, pattern: str = "*.jsonl", max_documents: int | None = None) -> DataFrame:
